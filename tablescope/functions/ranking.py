@@ -30,21 +30,25 @@ def _split_points(df: DataFrame, keys: list[str], ranges: int) -> list[tuple] |
 
 
 def _range_number(keys: list[str], types: dict[str, str], points: list[tuple]) -> Column:
-    """Number of the range a row falls in: a balanced tree of comparisons, log2(ranges) deep."""
-    def before(point: tuple) -> Column:
-        test = F.lit(False)
-        for k, v in reversed(list(zip(keys, point))):
-            bound = F.lit(v).cast(types[k])
-            test = (F.col(k) < bound) | ((F.col(k) == bound) & test)
-        return test
+    """How many split points lie at or before the row's sort key: a binary search in a literal array.
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(before(points[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    The array folds to one constant, so the plan does not grow with the number of ranges.
+    """
+    def key(values: list[Column]) -> Column:
+        return F.struct(*[v.cast(types[k]).alias(f"k{i}") for i, (k, v) in enumerate(zip(keys, values))])
+
+    table = F.array(*[key([F.lit(v) for v in p]) for p in points])
+    mine = key([F.col(k) for k in keys])
+    steps, step = [], 1
+    while step <= len(points):
+        steps.insert(0, step)
+        step *= 2
+
+    def advance(at: Column, by: Column) -> Column:
+        to = at + by
+        return F.when((to <= len(points)) & (F.get(table, F.least(to, F.lit(len(points))) - 1) <= mine), to).otherwise(at)
 
-    return tree(0, len(points))
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), advance)
 
 
 def ordered(df: DataFrame, order: list[str], sums: dict[str, str] | None = None, within: list[str] = (),
@@ -76,7 +80,8 @@ def ordered(df: DataFrame, order: list[str], sums: dict[str, str] | None = None,
         F.coalesce(F.sum(f"__t_{n}").over(ahead), F.lit(0)).alias(f"__o_{n}") for n in added])
     own = Window.partitionBy(*within, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ranked = cut.select("*", *[F.sum(c).over(own).alias(f"__w_{n}") for n, c in added.items()])
-    joined = ranked.join(F.broadcast(offsets), [*within, "__range"])
+    # without `within` there are at most `ranges` offsets; with it Spark chooses by size
+    joined = ranked.join(offsets if within else F.broadcast(offsets), [*within, "__range"])
     return joined.select(*base.columns, *[(F.col(f"__w_{n}") + F.col(f"__o_{n}")).alias(n) for n in added])
 
 
@@ -99,8 +104,10 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[s
         return (data.groupBy(*within) if within else data).agg(*picks)
     counts = data.groupBy(*within, "__v").agg(F.count("*").alias("__n"))
     run = ordered(counts, ["__v"], {"__upto": "__n"}, within, rank=None)
-    total = run.groupBy(*within).agg(F.max("__upto").alias("__total"))
-    spread = (run.join(F.broadcast(total), within) if within else run.crossJoin(F.broadcast(total)))
+    if within:
+        spread = run.join(run.groupBy(*within).agg(F.max("__upto").alias("__total")), within)
+    else:
+        spread = run.withColumn("__total", run.agg(F.max("__upto")).scalar())
     aggs = []
     for n, p in probs.items():
         at = (F.col("__total") - 1) * F.lit(float(p))

@@ -119,10 +119,12 @@ def report(pairs: DataFrame, types: dict[str, str]) -> DataFrame:
                      F.count_if(~F.col("is_empty") & F.col("is_total")).alias("total_rows"),
                      F.count_if(~F.col("is_empty") & ~F.col("is_total")).alias("kept"))
     distinct = kept.select(*[f"new_{i}" for i in range(len(cols))]).distinct().agg(F.count("*").alias("rows_after"))
-    cell_sums = counted.agg(F.sum("normalized").alias("cells_normalized"), F.sum("trimmed").alias("cells_trimmed"))
-    whole = rows.crossJoin(distinct).crossJoin(cell_sums).select(  # three one-row frames
-        F.lit("table").alias("scope"), "rows_before", "empty_rows", "total_rows", "rows_after",
-        (F.col("kept") - F.col("rows_after")).alias("duplicates"), "cells_normalized", "cells_trimmed")
+    cell_sums = counted.agg(F.struct(F.sum("normalized").alias("normalized"), F.sum("trimmed").alias("trimmed"))).scalar()
+    whole = rows.select(
+        F.lit("table").alias("scope"), "rows_before", "empty_rows", "total_rows", distinct.scalar().alias("rows_after"),
+        "kept", cell_sums.getField("normalized").alias("cells_normalized"),
+        cell_sums.getField("trimmed").alias("cells_trimmed"))
+    whole = whole.withColumn("duplicates", F.col("kept") - F.col("rows_after")).drop("kept")
     return whole.unpivot(["scope"], whole.columns[1:], "metric", "n").unionByName(per_column)
 
 
