@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-SECTIONS = ["relational", "cleaning", "concentration", "series",
+SECTIONS = ["relational", "cleaning", "profiling", "concentration", "series", "inference", "anomalies",
             ]
 
 

@@ -29,26 +29,22 @@ def _split_points(df: DataFrame, keys: list[str], ranges: int) -> list[tuple] |
     return ordered_rows[step::step]
 
 
-def _range_number(keys: list[str], types: dict[str, str], points: list[tuple]) -> Column:
-    """How many split points lie at or before the row's sort key: a binary search in a literal array.
+def _range_number(base: DataFrame, keys: list[str], points: list[tuple]) -> tuple[Column, Column, Column]:
+    """How many split points lie at or before the row's sort key: a binary search in a small sorted array.
 
-    The array folds to one constant, so the plan does not grow with the number of ranges.
+    The array is a scalar subquery over the split points, so the plan does not grow with their number.
     """
-    def key(values: list[Column]) -> Column:
-        return F.struct(*[v.cast(types[k]).alias(f"k{i}") for i, (k, v) in enumerate(zip(keys, values))])
-
-    table = F.array(*[key([F.lit(v) for v in p]) for p in points])
-    mine = key([F.col(k) for k in keys])
-    steps, step = [], 1
-    while step <= len(points):
-        steps.insert(0, step)
-        step *= 2
+    local = base.sparkSession.createDataFrame(points, base.select(*keys).schema)
+    table = local.agg(F.sort_array(F.collect_list(F.struct(*keys)))).scalar()
+    mine = F.struct(*[F.col(k) for k in keys])
+    steps = [1 << i for i in reversed(range(len(points).bit_length()))]
+    last = len(points)
 
     def advance(at: Column, by: Column) -> Column:
         to = at + by
-        return F.when((to <= len(points)) & (F.get(table, F.least(to, F.lit(len(points))) - 1) <= mine), to).otherwise(at)
+        return F.when((to <= last) & (F.get(F.col("__points"), F.least(to, F.lit(last)) - 1) <= F.col("__mine")), to).otherwise(at)
 
-    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), advance)
+    return table, mine, F.coalesce(F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), advance), F.lit(0))
 
 
 def ordered(df: DataFrame, order: list[str], sums: dict[str, str] | None = None, within: list[str] = (),
@@ -70,8 +66,9 @@ def ordered(df: DataFrame, order: list[str], sums: dict[str, str] | None = None,
         w = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return base.select("*", *[F.sum(c).over(w).alias(n) for n, c in added.items()])
 
-    types = {f.name: f.dataType.simpleString() for f in base.select(*keys).schema}
-    cut = base.withColumn("__range", _range_number(keys, types, points))
+    table, mine, search = _range_number(base, keys, points)
+    cut = (base.select("*", table.alias("__points"), mine.alias("__mine")).withColumn("__range", search)
+           .drop("__points", "__mine"))
     totals = cut.groupBy(*within, "__range").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in added.items()])
     # at most (values of `within`) x (ranges) rows
     ahead = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
