@@ -11,6 +11,7 @@ from ..operators import profile as P
 from ..operators import quality as Q
 from ..operators import clean as C
 from ..operators.anomaly import outlier_share
+from ..session import localize
 from .book import Book
 from .cleaning import COLUMNS, MESSY_SQL, TYPES, messy
 from .concentration import rounded
@@ -39,7 +40,7 @@ def view(t, name: str) -> DataFrame:
 
 
 def profiles(t) -> DataFrame:
-    return reduce(DataFrame.unionByName, [P.profile(view(t, v), v) for v in VIEWS])
+    return localize(reduce(DataFrame.unionByName, [P.profile(view(t, v), v) for v in VIEWS]))
 
 
 def _profile_sql() -> str:
@@ -71,7 +72,7 @@ PROF = _profile_sql()
 @book.add("c3_profile_tables", f"""with {PROF} select table_name, col as "column", rows, non_null, dist as "distinct", round(fill, 6) as fill, round(card, 6) as cardinality, type, role,
   round(mn, 4) as min, round(mx, 4) as max, round(mean, 4) as mean, round(sd, 4) as sd, round(total, 2) as sum, round(med, 4) as median, dmin as date_min, dmax as date_max from prof""")
 def _(t):
-    out = profiles(t).drop("position", "all_integer", "samples")
+    out = profiles(t).drop("position", "all_integer")
     return rounded(out, {"fill": 6, "cardinality": 6, "min": 4, "max": 4, "mean": 4, "sd": 4, "sum": 2, "median": 4})
 
 
@@ -79,13 +80,13 @@ def _(t):
 def _(t):
     out = reduce(DataFrame.unionByName, [P.profile(getattr(t, n), n, exact=False) for n in
                                          ["lineitem", "documents", "pages", "benchmark", "conversations", "labels"]])
-    return out.drop("samples", "all_integer")
+    return out.drop("all_integer")
 
 
 @book.add("c3_samples", """with v as (select distinct 'order_status' as "column", cast(o_orderstatus as varchar) as v from orders union all select distinct 'priority', o_orderpriority from orders)
 select "column", list(v order by v)[1:5] as samples from v group by 1""")
 def _(t):
-    return P.profile(view(t, "sales"), "sales").where(F.col("type") == "category").select("column", "samples")
+    return P.samples(view(t, "sales").select("order_status", "priority"))
 
 
 @book.add("c4_numeric_summary", " union all ".join(
@@ -114,7 +115,7 @@ def _(t):
 
 _WORDS = "replace(col, '_', ' ')"
 _KEY = f"""{PROF}, dom as (select table_name, 'x' as domain from facts),
-m as (select prof.*, regexp_matches({_WORDS}, '\\b(sales|amount)\\b') as rev, regexp_matches({_WORDS}, '\\b(quantity)\\b') as qty, regexp_matches({_WORDS}, '(\\brate\\b|\\bid\\b|\\bcode\\b)') as attr,
+m as (select prof.*, regexp_matches({_WORDS}, '\\b(sales|amount)\\b') as rev, regexp_matches({_WORDS}, '\\b(quantity|units?)\\b') as qty, regexp_matches({_WORDS}, '(\\brate\\b|\\bid\\b|\\bcode\\b)') as attr,
   type = 'currency' or regexp_matches({_WORDS}, '\\b(price|rate)\\b') as priced from prof where role = 'metric'),
 k as (select table_name, coalesce(arg_max(col, total) filter (rev and not attr and not qty), case when max(f.transaction_grain) then arg_max(col, total) filter (priced and not attr) end) as revenue
   from m join facts f using (table_name) group by 1),

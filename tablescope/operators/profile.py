@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import cells, fixed
 from ..functions.expr import col, finite, ratio
-from ..functions.ranking import quantiles
+from ..functions.ranking import SMALL_ROWS, quantiles
 from .headers import is_price_like, is_quantity, is_rate_like, is_revenue, metric_kind, readable
 
 _STATS = ["min", "max", "mean", "sd", "sum", "median"]
@@ -29,22 +29,24 @@ def _class_of(field: T.StructField, types: dict[str, str]) -> str:
 
 
 def _long(df: DataFrame, names: list[str], to) -> DataFrame:
-    return df.select(*[to(col(c)).alias(c) for c in names]).unpivot([], names, "column", "v").where(F.col("v").isNotNull())
+    return df.select(*[to(col(c)).alias(c) for c in names]).unpivot([], names, "column", "v")
+
+
+_EMPTY = {"min": "double", "max": "double", "mean": "double", "sd": "double", "sum": "double", "median": "double",
+          "all_integer": "boolean", "date_min": "timestamp_ntz", "date_max": "timestamp_ntz"}
 
 
 def profile(df: DataFrame, table_name: str, types: dict[str, str] | None = None, exact: bool = True) -> DataFrame:
-    """One row per column: fill, distinct, cardinality, numeric summary, date range, samples, type and role.
+    """One row per column: fill, distinct, cardinality, numeric summary, date range, type and role.
 
-    Columns of one kind share one pass: they are turned into rows and counted by value, which Spark combines
-    map-side. With `exact=False` distinct values are estimated by HyperLogLog, medians by a quantile sketch,
-    and nothing is shuffled but the sketches. `types` pins semantic types; others follow from the schema.
+    Columns of one kind are turned into rows and summed up in one aggregate, which Spark combines map-side.
+    With `exact=False` distinct values are estimated by HyperLogLog and medians by a quantile sketch, so that
+    only sketches are shuffled. `types` pins semantic types; others follow from the schema.
     """
     types = types or {}
-    rows = df.agg(F.count("*")).scalar()
+    small = exact and df.count() <= SMALL_ROWS
     kinds = {"numeric": lambda c: finite(c), "date": lambda c: c.cast("timestamp_ntz"), "text": lambda c: F.when(
         ~cells.is_missing(c.cast("string"), False), c.cast("string"))}
-    empty = {"min": "double", "max": "double", "mean": "double", "sd": "double", "sum": "double", "median": "double",
-             "all_integer": "boolean", "date_min": "timestamp_ntz", "date_max": "timestamp_ntz", "samples": "array<string>"}
     parts = []
     for kind, to in kinds.items():
         names = [f.name for f in df.schema if _class_of(f, types) == kind]
@@ -54,44 +56,46 @@ def profile(df: DataFrame, table_name: str, types: dict[str, str] | None = None,
         extra = []
         if kind == "numeric":
             extra = [F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"),
-                     F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"), F.sum("v").alias("sum"),
+                     F.when(F.count("v") > 0, F.coalesce(F.stddev_samp("v"), F.lit(0.0))).alias("sd"), F.sum("v").alias("sum"),
                      F.min(F.col("v") == F.floor("v")).alias("all_integer")]
+            if not exact:
+                extra.append(F.percentile_approx("v", 0.5, 10_000).alias("median"))
         elif kind == "date":
             extra = [F.min("v").alias("date_min"), F.max("v").alias("date_max")]
+        if not exact:
+            extra.append(F.approx_count_distinct("v", 0.02).alias("distinct"))
+        out = long.groupBy("column").agg(F.count("*").alias("rows"), F.count("v").alias("non_null"), *extra)
         if exact:
-            base = long.groupBy("column").agg(F.count("*").alias("non_null"), *extra) if extra else None
-            values = long.groupBy("column", "v").agg(F.count("*").alias("n"))
-            first = Window.partitionBy("column").orderBy("v")
-            shown = (values.withColumn("__r", F.row_number().over(first)).where("__r <= 5").groupBy("column")
-                     .agg(F.sort_array(F.collect_list("v")).cast("array<string>").alias("samples")))
-            sizes = values.groupBy("column").agg(F.count("*").alias("distinct"), F.sum("n").alias("non_null"))
-            out = sizes.join(shown, "column")
-            out = out.join(base.drop("non_null"), "column") if base is not None else out
-            if kind == "numeric":
-                out = out.join(quantiles(long, "v", {"median": 0.5}, ["column"]), "column")
-        else:
-            if kind == "numeric":
-                extra.append(F.percentile_approx("v", 0.5, 10_000).alias("median"))
-            out = long.groupBy("column").agg(F.count("*").alias("non_null"), F.approx_count_distinct("v", 0.02).alias("distinct"), *extra)
-        for c, kind_of in empty.items():
-            if c not in out.columns:
-                out = out.withColumn(c, F.lit(None).cast(kind_of))
-        parts.append(out.select("column", F.lit(kind).alias("kind"), "non_null", "distinct", *empty))
+            # distinct values are counted first; a median over them holds them all in one task, hence the size check
+            values = long.where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count("*").alias("n"))
+            weighted = [F.percentile("v", F.lit(0.5), F.col("n")).alias("median")] if kind == "numeric" and small else []
+            sizes = values.groupBy("column").agg(F.count("*").alias("distinct"), *weighted)
+            out = out.join(sizes, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+            if kind == "numeric" and not small:
+                out = out.join(quantiles(long, "v", {"median": 0.5}, ["column"], small_rows=SMALL_ROWS), "column", "left")
+        missing = {c: t for c, t in _EMPTY.items() if c not in out.columns}
+        out = out.select("*", *[F.lit(None).cast(t).alias(c) for c, t in missing.items()])
+        parts.append(out.select("column", F.lit(kind).alias("kind"), "rows", "non_null", "distinct", *_EMPTY))
     found = reduce(DataFrame.unionByName, parts)
-    order = {c: i for i, c in enumerate(df.columns)}
-    spark = df.sparkSession
-    kind_of = {f.name: _class_of(f, types) for f in df.schema}
-    boolean = {f.name for f in df.schema if isinstance(f.dataType, T.BooleanType)}
-    all_columns = spark.createDataFrame(
-        [(c, i, kind_of[c], types.get(c), c in boolean) for c, i in order.items()],
-        "column string, position int, kind string, pinned string, is_boolean boolean")
-    full = all_columns.join(found.drop("kind"), "column", "left").select(
-        F.lit(table_name).alias("table_name"), "column", "position", "kind", "pinned", "is_boolean",
-        rows.alias("rows"), F.coalesce("non_null", F.lit(0)).alias("non_null"), F.coalesce("distinct", F.lit(0)).alias("distinct"), *empty)
-    full = (full.withColumn("fill", F.coalesce(ratio("non_null", "rows"), F.lit(0.0)))
-            .withColumn("cardinality", F.coalesce(ratio("distinct", "non_null"), F.lit(0.0))))
-    full = full.withColumn("type", F.coalesce("pinned", _semantic_type()))
-    return full.withColumn("role", pick_role(F.col("type"), F.col("cardinality"))).drop("pinned", "is_boolean", "kind")
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i)])
+    pinned = F.create_map(*[F.lit(x) for kv in types.items() for x in kv]) if types else None
+    boolean = [f.name for f in df.schema if isinstance(f.dataType, T.BooleanType)]
+    full = found.select(
+        F.lit(table_name).alias("table_name"), "column", place[F.col("column")].alias("position"), "kind",
+        F.col("column").isin(boolean).alias("is_boolean"), "rows", "non_null", "distinct", *_EMPTY,
+        F.coalesce(ratio("non_null", "rows"), F.lit(0.0)).alias("fill"),
+        F.coalesce(ratio("distinct", "non_null"), F.lit(0.0)).alias("cardinality"))
+    inferred = _semantic_type()
+    full = full.withColumn("type", inferred if pinned is None else F.coalesce(F.try_element_at(pinned, F.col("column")), inferred))
+    return full.withColumn("role", pick_role(F.col("type"), F.col("cardinality"))).drop("is_boolean", "kind")
+
+
+def samples(df: DataFrame, k: int = 5) -> DataFrame:
+    """(column, samples): the first k distinct values of every column as text."""
+    long = _long(df, df.columns, lambda c: c.cast("string")).where(F.col("v").isNotNull()).distinct()
+    first = Window.partitionBy("column").orderBy("v")
+    return (long.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k).groupBy("column")
+            .agg(F.sort_array(F.collect_list("v")).alias("samples")))
 
 
 def _semantic_type() -> Column:
@@ -124,7 +128,7 @@ def override_roles(profiles: DataFrame, roles: dict[str, str]) -> DataFrame:
 def is_datelike(df: DataFrame) -> DataFrame:
     """(column, numeric_share, date_share, datelike) of text columns; mostly numeric ones are never dates."""
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    long = _long(df, names, lambda c: F.when(~cells.is_missing(c, True), c))
+    long = _long(df, names, lambda c: F.when(~cells.is_missing(c, True), c)).where(F.col("v").isNotNull())
     out = long.groupBy("column").agg(
         F.avg(F.col("v").rlike(fixed.NUMERIC_CELL).cast("int")).alias("numeric_share"),
         F.avg(cells.canonical_date(F.col("v")).isNotNull().cast("int")).alias("date_share"))

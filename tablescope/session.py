@@ -14,6 +14,7 @@ def build_session(master: str | None = None, app: str = "tablescope", **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
@@ -36,3 +37,8 @@ def freeze(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tablescope-"))
     return df.checkpoint(eager=True)
+
+
+def localize(df: DataFrame) -> DataFrame:
+    """A result of a few rows (one per column, metric or test) held on the driver, so that it is computed once."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
