@@ -7,7 +7,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 SECTIONS = ["relational", "cleaning", "profiling", "concentration", "series", "inference", "anomalies", "segments",
-            "textual", "scenarios",
+            "textual", "scenarios", "results"
             ]
 
 

@@ -212,6 +212,16 @@ def _(t):
     return rounded(J.forecast(nations(t), ["c_nationkey"], model="holt"), {c: 2 for c in ("forecast", "lower", "upper", "residual_std", "last_value")})
 
 
+@book.add("j2_holt_winters")
+def _(t):
+    return rounded(J.forecast(nations(t), ["c_nationkey"], season=12), {c: 2 for c in ("forecast", "lower", "upper", "residual_std", "last_value")})
+
+
+@book.add("j4_forecast_daily")
+def _(t):
+    return rounded(J.forecast(daily(t), ["event_type"]), {c: 4 for c in ("forecast", "lower", "upper", "residual_std", "last_value")})
+
+
 @book.add("j4_forecast_series")
 def _(t):
     return rounded(J.forecast(nations(t), ["c_nationkey"]), {c: 2 for c in ("forecast", "lower", "upper", "residual_std", "last_value")})

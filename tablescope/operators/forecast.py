@@ -73,9 +73,9 @@ def season_length(x: np.ndarray, threshold: float = 0.3) -> int | None:
     return None
 
 
-def fit(x: np.ndarray, horizon: int, model: str = "auto") -> dict | None:
-    """The seasonal model where a season is found and two cycles exist, else the linear one; None under 6 points."""
-    period = season_length(x) if model == "auto" else None
+def fit(x: np.ndarray, horizon: int, model: str = "auto", season: int | None = None) -> dict | None:
+    """The seasonal model where a season is given or found and two cycles exist, else the linear one; None under 6 points."""
+    period = season or (season_length(x) if model == "auto" else None)
     if period and len(x) >= 2 * period:
         return holt_winters(x, horizon, period)
     return holt(x, horizon) if len(x) >= 6 else None
@@ -91,7 +91,7 @@ def _schema_of(frame: DataFrame, series: list[str]) -> str:
 
 
 def forecast(frame: DataFrame, series: list[str], horizon: int | None = None, model: str = "auto",
-             z: float = 1.96) -> DataFrame:
+             z: float = 1.96, season: int | None = None) -> DataFrame:
     """(series…, step, forecast, lower, upper, method, season, residual_std, last_value).
 
     The band is z · residual std · sqrt(step). Forecasts of series that were never negative stay at 0 or above.
@@ -102,7 +102,7 @@ def forecast(frame: DataFrame, series: list[str], horizon: int | None = None, mo
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("period")["value"].dropna().to_numpy(dtype=float)
         h = horizon or default_horizon(len(x))
-        found = fit(x, h, model) if len(x) >= 6 else None
+        found = fit(x, h, model, season) if len(x) >= 6 else None
         if found is None:
             return pd.DataFrame({c: [] for c in out_cols})
         steps = np.arange(1, h + 1)

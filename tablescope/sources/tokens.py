@@ -9,49 +9,48 @@ from pyspark.sql import functions as F
 from ..functions.ranking import quantiles
 
 
-def _lines(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Cells of each visual line of one block: a line keeps tokens near its first token's height; wide gaps split cells."""
-    gap, tolerance = pdf["gap"].iloc[0], pdf["tolerance"].iloc[0]
-    lines: list[list] = []
-    for tok in pdf.sort_values(["y", "x"], ascending=[False, True]).itertuples():
-        home = next((ln for ln in lines if abs(ln[0].y - tok.y) <= tolerance), None)
-        if home is None:
-            lines.append([tok])
-        else:
-            home.append(tok)
-    out = []
-    for line in lines:
-        cells, end = [], None
-        for tok in sorted(line, key=lambda k: k.x):
-            if end is not None and tok.x - end <= gap:
-                cells[-1] += " " + tok.str.strip()
-            else:
-                cells.append(tok.str.strip())
-            end = tok.x + tok.width
-        out.append((line[0].doc_id, line[0].y, cells))
-    return pd.DataFrame(out, columns=["doc_id", "y", "cells"])
+def _line_starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The height of the line each height belongs to: the highest line start within the tolerance, else a new line."""
+    heights = pdf.sort_values("y", ascending=False)
+    tolerance, starts, home = heights["tolerance"].iloc[0], [], []
+    for y in heights["y"]:
+        start = next((s for s in starts if s - y <= tolerance), None)
+        if start is None:
+            starts.append(y)
+        home.append(y if start is None else start)
+    return heights.assign(line=home)[["doc_id", "y", "line"]]
 
 
 def tokens_to_grid(tokens: DataFrame) -> DataFrame:
     """(doc_id, row, col, text) from tokens (doc_id, x, y, str, width); row 0 is the header.
 
-    Heights further apart than the line tolerance never share a line, so a document is cut there into blocks of
-    a few lines, and only a block is handled in Python. Documents with fewer than 4 tokens or without a
-    grid (2 columns, 2 rows) give nothing.
+    Heights further apart than the line tolerance never share a line, so a document is cut there into blocks. A block
+    no taller than the tolerance is one line; only the heights of taller blocks need the step-by-step rule. Documents
+    with fewer than 4 tokens or without a grid (2 columns, 2 rows) give nothing.
     """
     clean = tokens.where(F.trim("str") != "").withColumn("__w", F.col("width") / F.greatest(F.lit(1), F.length(F.trim("str"))))
     enough = clean.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 4").select("doc_id")
     wide = quantiles(clean, "__w", {"char_w": 0.5}, ["doc_id"]).withColumn("char_w", F.when(F.col("char_w") > 0, F.col("char_w")).otherwise(4.0))
     sized = clean.join(enough, "doc_id").join(wide, "doc_id").select(
-        "doc_id", "x", "y", "str", "width", F.greatest(F.col("char_w") * 1.6, F.lit(6.0)).alias("gap"),
+        "doc_id", "x", "y", F.trim("str").alias("str"), "width", F.greatest(F.col("char_w") * 1.6, F.lit(6.0)).alias("gap"),
         F.greatest("char_w", F.lit(3.0)).alias("tolerance"))
     down = Window.partitionBy("doc_id").orderBy(F.desc("y"))
     heights = sized.select("doc_id", "y", "tolerance").distinct()
     starts = heights.withColumn("new", F.coalesce(F.lag("y").over(down) - F.col("y") > F.col("tolerance"), F.lit(True)))
-    blocks = starts.withColumn("block", F.sum(F.col("new").cast("long")).over(down)).select("doc_id", "y", "block")
+    blocks = starts.withColumn("block", F.sum(F.col("new").cast("long")).over(down))
+    own = Window.partitionBy("doc_id", "block")
+    blocks = blocks.withColumn("top", F.max("y").over(own)).withColumn("tall", F.col("top") - F.min("y").over(own) > F.col("tolerance"))
     id_type = tokens.schema["doc_id"].dataType.simpleString()
-    lines = (sized.join(blocks, ["doc_id", "y"]).groupBy("doc_id", "block")
-             .applyInPandas(_lines, f"doc_id {id_type}, y double, cells array<string>").where(F.size("cells") > 0))
+    stepped = (blocks.where("tall").select("doc_id", "block", "y", "tolerance").groupBy("doc_id", "block")
+               .applyInPandas(_line_starts, f"doc_id {id_type}, y double, line double"))
+    lined = blocks.where("not tall").select("doc_id", "y", F.col("top").alias("line")).unionByName(stepped)
+    across = Window.partitionBy("doc_id", "line").orderBy("x", F.desc("y"))
+    placed = sized.join(lined, ["doc_id", "y"]).withColumn("end", F.lag(F.col("x") + F.col("width")).over(across))
+    cut = placed.withColumn("cell", F.sum(F.coalesce(F.col("x") - F.col("end") > F.col("gap"), F.lit(True)).cast("long")).over(across))
+    texts = cut.groupBy("doc_id", "line", "cell").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("x", (-F.col("y")).alias("o"), "str"))), lambda k: k.str), " ").alias("text"))
+    lines = texts.groupBy("doc_id", F.col("line").alias("y")).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("cell", "text"))), lambda k: k.text).alias("cells"))
     sizes = lines.groupBy("doc_id", F.size("cells").alias("c")).agg(F.count("*").alias("n")).where("c >= 2")
     target = sizes.groupBy("doc_id").agg(F.max_by("c", F.struct("n", "c")).alias("target"), F.sum("n").alias("rows")).where("rows >= 2")
     kept = lines.join(target, "doc_id").where(F.size("cells") >= 2)
