@@ -90,6 +90,12 @@ def _schema_of(frame: DataFrame, series: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name in series)
 
 
+def _nothing(columns: list[str], series: list[str], like: pd.DataFrame) -> pd.DataFrame:
+    """No rows, with plain column types (an untyped empty column cannot be turned into Arrow)."""
+    plain = {c: like[c].iloc[:0].astype(object) if c in series else pd.Series([], dtype=object if c == "method" else float) for c in columns}
+    return pd.DataFrame(plain)
+
+
 def forecast(frame: DataFrame, series: list[str], horizon: int | None = None, model: str = "auto",
              z: float = 1.96, season: int | None = None) -> DataFrame:
     """(series…, step, forecast, lower, upper, method, season, residual_std, last_value).
@@ -104,7 +110,7 @@ def forecast(frame: DataFrame, series: list[str], horizon: int | None = None, mo
         h = horizon or default_horizon(len(x))
         found = fit(x, h, model, season) if len(x) >= 6 else None
         if found is None:
-            return pd.DataFrame({c: [] for c in out_cols})
+            return _nothing(out_cols, series, pdf)
         steps = np.arange(1, h + 1)
         band = z * found["residual_std"] * np.sqrt(steps)
         lowest = 0.0 if (x >= 0).all() else -np.inf
@@ -131,7 +137,7 @@ def smoothing_parameters(frame: DataFrame, series: list[str], model: str = "auto
         x = pdf.sort_values("period")["value"].dropna().to_numpy(dtype=float)
         found = fit(x, 1, model) if len(x) >= 6 else None
         if found is None:
-            return pd.DataFrame({c: [] for c in cols})
+            return _nothing(cols, series, pdf)
         row = {**{c: pdf[c].iloc[0] for c in series}, "n": len(x), "detected_season": season_length(x),
                **{k: found[k] for k in ("method", "alpha", "beta", "gamma", "residual_std")}}
         return pd.DataFrame([row])[cols].astype({"detected_season": "Int64", "gamma": "Float64"})
