@@ -5,6 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.readers import spread
+
 
 class Tables:
     """The driver's parquet tables of one scale factor, read lazily."""
@@ -16,6 +18,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+    def wide(self, name: str) -> DataFrame:
+        """The table spread over all cores, for work that is heavy per row."""
+        return spread(getattr(self, name))
+
+
 class Book:
     def __init__(self):
         self.runs: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

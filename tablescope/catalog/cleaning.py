@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..operators import clean as C
-from ..operators.infer import infer_types, pattern_shares
+from ..operators.infer import pattern_shares, types_from_shares
+from ..session import localize
 from ..sources.sinks import spreadsheet_safe
 from .book import Book, Tables
 
@@ -23,7 +24,7 @@ def messy(t: Tables) -> DataFrame:
     us = F.format_number("o_totalprice", 2)
     plain = F.replace(us, F.lit(","))
     eu = F.translate(us, ",.", ".,")
-    rows = t.orders.select(
+    rows = t.wide("orders").select(
         F.col("o_orderkey").cast("string").alias("order_id"),
         F.when(s == "F", F.concat(F.lit("  Customer   "), F.col("o_custkey"), F.lit(" ")))
         .otherwise(F.concat(F.lit("Customer "), F.col("o_custkey"))).alias("customer"),
@@ -225,10 +226,9 @@ select column_name, cast(n as bigint) as non_missing, round(boolean_share, 6) as
 
 @book.add("c1_infer_types", _TYPED_SQL)
 def _(t):
-    m = messy(t)
-    found = infer_types(m)
-    names = F.create_map(*[F.lit(x) for kv in found.items() for x in kv])
-    return pattern_shares(m).select(
+    shares = localize(pattern_shares(messy(t)))
+    names = F.create_map(*[F.lit(x) for kv in types_from_shares(shares).items() for x in kv])
+    return shares.select(
         F.col("column").alias("column_name"), F.col("non_missing").cast("long").alias("non_missing"),
         *[F.round(c, 6).alias(c) for c in ["boolean_share", "currency_share", "numeric_share", "date_share"]],
         names[F.col("column")].alias("semantic_type"))

@@ -11,7 +11,7 @@ from ..operators import profile as P
 from ..operators import quality as Q
 from ..operators import clean as C
 from ..operators.anomaly import outlier_share
-from ..session import localize
+from ..session import freeze, localize
 from .book import Book
 from .cleaning import COLUMNS, MESSY_SQL, TYPES, messy
 from .concentration import rounded
@@ -227,8 +227,9 @@ select total, case when total >= 90 then 'A' when total >= 80 then 'B' when tota
 def _(t):
     raw = messy(t)
     cleaned = C.clean(raw, type_overrides=TYPES)
-    p = P.profile(cleaned.df.select(*COLUMNS), "messy", types=TYPES)
-    return Q.scorecard(p, cleaned.report, outlier_share(cleaned.df, ["amount"])).withColumn("score", rnd("score", 6))
+    table = freeze(cleaned.df)  # read several times below
+    p = P.profile(table.select(*COLUMNS), "messy", types=TYPES)
+    return Q.scorecard(p, cleaned.report, outlier_share(table, ["amount"])).withColumn("score", rnd("score", 6))
 
 
 _DUPES = """with b as (select o_orderstatus, o_orderpriority, cast(null as varchar) as note, 'EU' as market from orders), d as (select count(*) as rows, count(*) - (select count(*) from (select distinct * from b)) as dups from b)"""

@@ -22,12 +22,12 @@ def _(t):
 
 
 @book.add("a4_read_parquet_nested", """select vec_id, cast(label as bigint) as label, cast(len(embedding) as bigint) as width,
-  round(embedding[1]::double, 5) as first_value from embeddings""")
+  embedding[1]::double as first_value from embeddings""")
 def _(t):
     flat = readers.flatten_nested(t.embeddings)
-    parsed = F.from_json("embedding", "array<double>")
+    parsed = F.from_json("embedding", "array<float>")
     return flat.select("vec_id", F.col("label").cast("long").alias("label"), F.size(parsed).cast("long").alias("width"),
-                       F.round(parsed[0], 5).alias("first_value"))
+                       parsed[0].cast("double").alias("first_value"))
 
 
 @book.add("a5_choose_source", """select name, cast(n as bigint) as n_rows, n = max(n) over () as chosen from (

@@ -30,7 +30,7 @@ def _(t):
  union all select 'l_tax', b2, m2, (select stddev_samp(l_tax) from lineitem), (select min(l_tax) from lineitem), (select max(l_tax) from lineitem) from g),
 go as (select p_brand as goal, avg(l_extendedprice) - (select avg(l_extendedprice) from lineitem) as d from lineitem join part on l_partkey = p_partkey group by 1),
 x as (select goal, lever, d / coef as dx, mean + d / coef as tv, abs(d / coef) / sd as sds, mean + d / coef between mn and mx as in_range from go, l)
-select goal, lever, round(dx, 2) as delta_x, round(tv, 2) as to_value, round(sds, 3) as sds, in_range, row_number() over (partition by goal order by in_range desc, sds, lever) as rank from x""")
+select goal, lever, round(dx, 2) + 0.0 as delta_x, round(tv, 2) + 0.0 as to_value, round(sds, 3) as sds, in_range, row_number() over (partition by goal order by in_range desc, sds, lever) as rank from x""")
 def _(t):
     overall = t.lineitem.agg(F.avg("l_extendedprice")).scalar()
     goals = (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("goal"))

@@ -89,17 +89,18 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[s
               small_rows: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles of `value`, one column per {name: p}, per `within` group.
 
-    `percentile` keeps every distinct value of a group in one task, so it is used only when the row
-    count is small. Beyond that the values are counted, put in order by range, and the rows that cover
-    the wanted positions are picked.
+    Equal values are counted together first. `percentile` keeps every distinct value of a group in one task,
+    so it is used only when the row count is small. Beyond that the values are put in order by range, and the
+    rows that cover the wanted positions are picked.
     """
     within = list(within)
     limit = SMALL_ROWS if small_rows is None else small_rows
     data = df.where(F.col(value).isNotNull()).select(*within, F.col(value).cast("double").alias("__v"))
-    if data.count() <= limit:
-        picks = [F.percentile("__v", F.lit(p)).alias(n) for n, p in probs.items()]
-        return (data.groupBy(*within) if within else data).agg(*picks)
     counts = data.groupBy(*within, "__v").agg(F.count("*").alias("__n"))
+    if data.count() <= limit:
+        many = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("__n")).alias("__q")
+        found = (counts.groupBy(*within) if within else counts).agg(many)
+        return found.select(*within, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
     run = ordered(counts, ["__v"], {"__upto": "__n"}, within, rank=None)
     if within:
         spread = run.join(run.groupBy(*within).agg(F.max("__upto").alias("__total")), within)

@@ -20,19 +20,20 @@ def pattern_shares(df: DataFrame) -> DataFrame:
     names = df.columns
     long = df.select(*[col(c).cast("string").alias(c) for c in names]).unpivot([], names, "column", "raw")
     cell = long.select("column", F.when(~cells.is_missing(F.col("raw"), True), F.trim("raw")).alias("cell"))
-    parsed = cell.select("column", "cell", F.lower("cell").alias("low"), cells.parse_number(F.col("cell")).alias("number"))
     c = F.col("cell")
+    parsed = cell.select("column", "cell", F.lower("cell").alias("low"), cells.parse_number(c).alias("number"),
+                         c.rlike(fixed.NUMERIC_CELL).alias("plain"))
     whole = F.col("number").isNotNull() & (F.col("number") == F.floor("number"))
     return parsed.groupBy("column").agg(
         F.count("cell").cast("double").alias("non_missing"),
         F.avg(F.col("low").isin(fixed.TRUE_WORDS + fixed.FALSE_WORDS).cast("int")).alias("boolean_share"),
         F.avg(c.rlike(fixed.PERCENT_CELL).cast("int")).alias("percent_share"),
         F.avg(c.rlike(fixed.CURRENCY_CELL).cast("int")).alias("currency_share"),
-        F.avg(c.rlike(fixed.NUMERIC_CELL).cast("int")).alias("numeric_share"),
-        F.avg((c.rlike(fixed.NUMERIC_CELL) | c.rlike(fixed.NUMERIC_EU_CELL)).cast("int")).alias("any_numeric_share"),
+        F.avg(F.col("plain").cast("int")).alias("numeric_share"),
+        F.avg((F.col("plain") | c.rlike(fixed.NUMERIC_EU_CELL)).cast("int")).alias("any_numeric_share"),
         F.avg(((F.length(c) >= 6) & c.rlike(fixed.DATE_CELL)).cast("int")).alias("date_share"),
         F.min(F.when(c.isNotNull(), whole.cast("int"))).alias("all_integer"),
-        F.approx_count_distinct("low", 0.01).cast("double").alias("distinct_lower"))
+        F.approx_count_distinct("low", 0.02).cast("double").alias("distinct_lower"))
 
 
 def _type_of(name: str, s) -> str:
@@ -66,5 +67,10 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     rest = [c for c in df.columns if c not in known]
     if not rest:
         return known
-    shares = {r["column"]: r for r in pattern_shares(df.select(*[col(c) for c in rest])).collect()}
-    return {c: known.get(c) or _type_of(c, shares[c]) for c in df.columns}
+    found = types_from_shares(pattern_shares(df.select(*[col(c) for c in rest])))
+    return {c: known.get(c) or found[c] for c in df.columns}
+
+
+def types_from_shares(shares: DataFrame) -> dict[str, str]:
+    """Semantic type per column from the one-row-per-column frame of `pattern_shares`."""
+    return {r["column"]: _type_of(r["column"], r) for r in shares.collect()}

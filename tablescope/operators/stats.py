@@ -30,13 +30,22 @@ def pair_moments(df: DataFrame, metrics: list[str]) -> DataFrame:
         F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"))
 
 
-def _alike(name: Column) -> Column:
-    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+def alike_names(a: str, b: str) -> bool:
+    """One name, squashed to letters and digits, contains the other."""
+    x, y = ("".join(ch for ch in n.lower() if ch.isascii() and ch.isalnum()) for n in (a, b))
+    return x in y or y in x
 
 
-def is_redundant(a: Column, b: Column, r: Column) -> Column:
-    """Practically the same measure: |r| >= .98, or one squashed name contains the other."""
-    return (F.abs(r) >= 0.98) | F.contains(_alike(a), _alike(b)) | F.contains(_alike(b), _alike(a))
+def is_redundant(metrics: list[str]) -> Column:
+    """Practically the same measure: |r| >= .98, or alike names.
+
+    The names are compared here and not in the plan, where Spark would push the comparison down to every row.
+    """
+    test = F.abs("r") >= 0.98
+    for a, b in combinations(metrics, 2):
+        if alike_names(a, b):
+            test = test | ((F.col("a") == a) & (F.col("b") == b))
+    return test
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, q: float = 0.05, within: list[str] = ()) -> DataFrame:
@@ -68,7 +77,7 @@ def correlations(df: DataFrame, metrics: list[str], bands: tuple[float, float] =
     out = x.select("a", "b", "n", "r", F.tanh(z - se).alias("ci_low"), F.tanh(z + se).alias("ci_high"),
                    (F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))).alias("t"),
                    F.when(size > bands[0], "strong").when(size > bands[1], "moderate").otherwise("weak").alias("strength"),
-                   is_redundant(F.col("a"), F.col("b"), F.col("r")).alias("redundant"))
+                   is_redundant(metrics).alias("redundant"))
     if p_value:
         out = benjamini_hochberg(out.withColumn("p", p_t(F.col("t"), F.col("n") - 2)), "p")
     return out.orderBy(F.desc(F.abs("r")), "a", "b")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import col, ratio
+from ..session import freeze
 
 
 def tokens(text: Column) -> Column:
@@ -48,7 +49,7 @@ def themes(resp: DataFrame, with_quote: bool = True) -> DataFrame:
     Ties are broken by term. The sample is the first response of 160 letters or less that has all words of the
     term, else the first such response cut at 157.
     """
-    counts = term_counts(resp)
+    counts = freeze(term_counts(resp))  # the vocabulary is used three times below, the texts are read once for it
     top_pairs = counts.where("size = 2 and n >= 2").orderBy(F.desc("n"), "term").limit(6)
     inside = top_pairs.select(F.explode(F.split("term", " ")).alias("term")).distinct()
     top_words = counts.where("size = 1").join(F.broadcast(inside), "term", "left_anti").orderBy(F.desc("n"), "term").limit(8)

@@ -48,6 +48,15 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A frame just read, over all cores when its input has fewer splits than that (one compressed or one-row-group file).
+
+    Inputs of many files are left as they are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def choose_source(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, n_rows, chosen): row count of each table; the largest is the main one."""
     counts = reduce(DataFrame.unionByName, [

@@ -61,8 +61,8 @@ def compare(spark_names, spark_rows, sql_names, sql_rows) -> str | None:
         extra = [r for r in r1 if r not in r2][:2] if len(r1) < 5000 else ""
         return f"rows {len(r1)} != {len(r2)}; e.g. spark {r1[:2]} duck {r2[:2]} extra {extra}"
     for a, b in zip(r1, r2):
-        if a != b or [type(x) for x in a] != [type(x) for x in b]:
-            bad = [(n, x, y) for n, x, y in zip(n1, a, b) if x != y or type(x) is not type(y)]
+        if repr(a) != repr(b):  # also tells -0.0 from 0.0
+            bad = [(n, x, y) for n, x, y in zip(n1, a, b) if repr(x) != repr(y)]
             return f"first difference {bad} in {a} | {b}"
     return None
 
