@@ -29,12 +29,14 @@ def build_session(master: str | None = None, app: str = "tablescope", **conf: st
 def freeze(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where nothing is set, as in
-    a local test, a temporary one is made.
+    The folder is the one the cluster names in spark.checkpoint.dir. Only where nothing is set and Spark runs
+    on this machine alone, as in tests, a temporary one is made.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tablescope-"))
     return df.checkpoint(eager=True)
 

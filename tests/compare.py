@@ -72,7 +72,8 @@ def main(prefixes: list[str]) -> int:
     from tablescope.session import build_session
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
-                                         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+                                         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+                                         "spark.sql.session.timeZone": os.environ.get("SESSION_TZ", "UTC")})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     sqls = catalog.oracle_sql()
