@@ -47,7 +47,8 @@ def fit_clusters(df: DataFrame, metrics: list[str], seed: int = 1234567, min_row
     scale = dict(list(scale.items())[:6])
     if one["n"] < min_rows or len(scale) < 2:
         return None
-    data = _vector(df, scale).select("__features").persist(StorageLevel.MEMORY_AND_DISK)
+    # about 20,000 rows per task: small tables do not pay for many empty tasks in each iteration, large ones are left as they are
+    data = _vector(df, scale).select("__features").coalesce(one["n"] // 20_000 + 1).persist(StorageLevel.MEMORY_AND_DISK)
     best = None
     for k in (2, 3, 4):
         model = KMeans(k=k, seed=seed, maxIter=30, featuresCol="__features", predictionCol="cluster").fit(data)
