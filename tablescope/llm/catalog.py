@@ -6,12 +6,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import statements
+from .contamination import op6_decontamination
+from .minhash import op4_minhash_dedup
+from .mixing import op5_mixing
 from .substring import op1_substring_dedup
 from .suffixes import op3_suffix_dedup
 
+OPERATORS = (op1_substring_dedup, op3_suffix_dedup, op4_minhash_dedup, op5_mixing, op6_decontamination)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_suffix_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,4 +27,29 @@ select doc_id, len(h) // 2 as n_bytes, coalesce(gone, 0)::bigint as n_removed, c
 from h left join cut using (doc_id)
 """
 
-SQL = {"op1_substring_dedup": OP1, "op3_suffix_dedup": OP3}
+OP4 = r"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+  s as (select distinct doc_id, array_to_string(w[i:i+4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+  n as (select doc_id, count(*) as n from s group by doc_id),
+  both_ as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b using (s) where a.doc_id <> b.doc_id group by 1, 2),
+  link as (select a, b from both_ join n x on a = x.doc_id join n y on b = y.doc_id where 100 * k >= 85 * (x.n + y.n - k)),
+  reach as (select doc_id as a, doc_id as c from documents union select reach.a, link.b as c from reach join link on link.a = reach.c),
+  low as (select a as doc_id, min(c) as component_id from reach group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from low left join n using (doc_id)
+"""
+
+OP6 = r"""
+with folded as (select 'd' as kind, doc_id::varchar as id, text from documents union all select 'b', item_id::varchar, text from benchmark),
+  w as (select kind, id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from folded),
+  asked as (select distinct id as item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as s
+    from (select id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from w where kind = 'b' and len(w) > 0)),
+  sizes as (select distinct n from asked),
+  win as (select id, i, n, array_to_string(w[i:i + n - 1], ' ') as s from (select id, w, n, unnest(range(1, len(w) - n + 2)) as i from w, sizes where kind = 'd' and len(w) >= n)),
+  hit as (select id, i, win.n, item_id from win join asked using (s) where win.n = asked.n),
+  items as (select id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as items from hit group by id),
+  cover as (select id, count(distinct p) as n_hit from (select id, unnest(range(i, i + n)) as p from hit) group by id)
+select w.id::bigint as doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from w left join items using (id) left join cover using (id) where kind = 'd'
+"""
+
+SQL = {"op1_substring_dedup": OP1, "op3_suffix_dedup": OP3, "op4_minhash_dedup": OP4, "op6_decontamination": OP6}
