@@ -38,6 +38,15 @@ def blocked(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str = "t
     return own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text").repartition("block")
 
 
+def with_carried(docs: DataFrame, doc_id: str, text: str, carry: list[str] | None) -> tuple[DataFrame, str]:
+    """(doc_id, text) and, if asked for, the columns in `carry` as a struct that goes along; and how a schema text names it."""
+    own = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")]
+    if not carry:
+        return docs.select(*own), ""
+    out = docs.select(*own, F.struct(*carry).alias("carried"))
+    return out, f", carried {out.schema['carried'].dataType.simpleString()}"
+
+
 def in_order(table: pa.Table) -> pa.Table:
     """The block's rows in one fixed order, whatever order the network brought them in. Rows that tie are equal."""
     return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))

@@ -177,16 +177,16 @@ def _chunks(tests: DataFrame):
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                       item_text: str = "text") -> DataFrame:
+                       item_text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per document: n_words, n_hit, hit word intervals, items found (as strings), longest verbatim matches.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased. A window is `width`
     consecutive words of an item, or the whole item where it has fewer (not none). Words of a document inside an
     occurrence of a window are hit. A match has the item, where it begins in item and document, and its length in words.
     NULL and empty texts have no words; items without id are skipped; equal rows give equal results, in one row each;
-    other columns are not looked at. One pass over the documents for each TESTS bytes of items.
+    other columns are not looked at; those in `carry` come back as a struct `carried`. One pass over the documents for each TESTS bytes of items.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own, along = B.with_carried(docs, doc_id, text, carry)
     asked = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null")
     chunks = _chunks(asked)
     found, chunk = own, next(chunks)
@@ -202,19 +202,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, d
                 for a, b in T.slices(offsets, SHARD):
                     got = _shard(tests, None if hits is None else hits.slice(a, b - a), data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                     text_column = batch.column("text").slice(a, b - a) if keep else pa.nulls(b - a, pa.string())
-                    more = [batch.column(c).slice(a, b - a) for c in ("items_before", "matches_before") if hits is not None]
-                    columns = [batch.column("doc_id").slice(a, b - a), text_column, *got, *more]
-                    yield pa.RecordBatch.from_arrays(columns, [*PARTS.names, *["items_before", "matches_before"][:len(more)]])
+                    more = [c for c in ("items_before", "matches_before", "carried") if c in batch.schema.names]
+                    columns = [batch.column("doc_id").slice(a, b - a), text_column, *got, *(batch.column(c).slice(a, b - a) for c in more)]
+                    yield pa.RecordBatch.from_arrays(columns, [*PARTS.names, *more])
 
         again = "hits" in found.columns
         before = found.withColumnsRenamed({"items": "items_before", "matches": "matches_before"})
-        found = before.mapInArrow(look, FOUND + (f", items_before array<string>, matches_before {MATCH}" if again else ""))
+        found = before.mapInArrow(look, FOUND + (f", items_before array<string>, matches_before {MATCH}" if again else "") + along)
         if again:
             found = found.select("doc_id", "text", "n_words", "hits", F.array_union("items_before", "items").alias("items"),
-                                 F.concat("matches_before", "matches").alias("matches"))
+                                 F.concat("matches_before", "matches").alias("matches"), *(["carried"] if along else []))
         chunk = after
     spans = F.aggregate("hits", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", spans.alias("n_hit"), "hits", "items", "matches", (F.size("hits") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", spans.alias("n_hit"), "hits", "items", "matches", (F.size("hits") > 0).alias("contaminated"), *(["carried"] if along else []))
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import freeze
 
-SMALL = 16 << 20
+SMALL = 32 << 20
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
@@ -39,13 +39,15 @@ def components(links: DataFrame) -> DataFrame:
         edges = freeze(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def linked_groups(members: DataFrame, compatible: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_groups(members: DataFrame, compatible: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame],
+                  across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of all ids that have a verified link, from members (bucket, id, trait) of buckets.
 
     Candidates are ids that share a bucket and whose traits are compatible. First every id is checked against one
-    member of its buckets (the smallest id, then the largest), which joins the copies of a text in time linear in their
+    member of each of its buckets (the smallest id, then the largest), which joins the copies of a text in time linear in their
     number. Then only pairs that still lie in different groups are checked, all of them, so no link between groups
-    is lost. verify takes (a, b) and returns those that are links.
+    is lost. verify takes (a, b) and returns those that are links. `across` may name those last pairs in its own way,
+    from (bucket, id, trait, c) with c the group so far.
     """
     def fresh(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -61,9 +63,10 @@ def linked_groups(members: DataFrame, compatible: Callable[[Column, Column], Col
             now = freeze(now.withColumn("lo", F.min("c").over(span)).withColumn("hi", F.max("c").over(span)).where("lo <> hi").drop("lo", "hi"))
         if leader is not None:
             heads = now.groupBy("bucket").agg(leader(F.struct("id", "trait", "c")).alias("h"))
-            pairs = (now.join(heads, "bucket").where((F.col("id") != F.col("h.id")) & (F.col("c") != F.col("h.c")) & compatible(F.col("trait"), F.col("h.trait")))
-                     .groupBy(F.col("id").alias("a"), F.col("h.id").alias("b")).agg(F.count("*").alias("n"))
-                     .groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))  # the head met in most buckets
+            pairs = now.join(heads, "bucket").where((F.col("c") != F.col("h.c")) & compatible(F.col("trait"), F.col("h.trait"))) \
+                .select(F.col("id").alias("a"), F.col("h.id").alias("b"))
+        elif across is not None:
+            pairs = across(now)
         else:
             x, y = now.alias("x"), now.alias("y")
             pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & compatible(F.col("x.trait"), F.col("y.trait"))) \

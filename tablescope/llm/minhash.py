@@ -18,6 +18,7 @@ from . import blocks as B
 from . import textbytes as T
 from .links import join_small, linked_groups
 
+CHUNK = 512  # members of a bucket that are compared in one task with as many others
 BANDS, ROWS = 40, 8  # at similarity .85 a pair misses all bands with probability 3e-6
 
 
@@ -84,9 +85,10 @@ def _sign(size: int, bands: int, rows: int):
                 band = np.broadcast_to(np.arange(bands, dtype=T.U), (b - a, bands)).copy()
                 for r in range(rows):
                     band = T.mix(band ^ sketch[:, :, r]) + T.U(r)
+                low = (sketch.reshape(b - a, -1) >> T.U(40)).astype(np.uint8)  # eight bits of every bin, to compare sketches with
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(_signed(band.reshape(-1))))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(borders)), pa.array(_signed(marks[0])), pa.array(_signed(marks[1])), lists],
-                                                 ["doc_id", "n", "f1", "f2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(borders)), pa.array(_signed(marks[0])), pa.array(_signed(marks[1])), lists,
+                                                  pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "n", "f1", "f2", "bands", "sketch"])
     return run
 
 
@@ -114,6 +116,54 @@ def _confirm(percent: int):
     return run
 
 
+def _alike(percent: int, bands: int, least: int):
+    """Pairs of a bucket (or of two chunks of one) whose sketches agree in at least `least` bins, each pair in the first
+    bucket that it shares only. Rows come sorted by bucket and chunks; a bucket never has more than 2 * CHUNK rows."""
+    def pairs(table: pa.Table):
+        n = table.num_rows
+        key = np.stack([table[k].to_numpy() for k in ("bucket", "p", "q")])
+        new = np.ones(n, bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
+        end = np.append(np.flatnonzero(new)[1:], n)[np.cumsum(new) - 1] if n else np.zeros(0, np.int64)
+        own, c, size, ids = (table[k].to_numpy() for k in ("own", "c", "trait", "id"))
+        band = table["bands"].combine_chunks().flatten().to_numpy().reshape(n, bands)
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(n, -1)
+        many = end - np.arange(n) - 1
+        upto = np.concatenate([[0], np.cumsum(many)])
+        a = 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + (1 << 18), "right")) - 1)
+            i = np.repeat(np.arange(a, b), many[a:b])
+            j = i + 1 + np.arange(len(i)) - (upto[i] - upto[a])
+            x, y = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            good = (c[i] != c[j]) & ((own[i] != own[j]) | (key[1][i] == key[2][i])) & (100 * x >= percent * y)
+            i, j = i[good], j[good]
+            good = (sketch[i] == sketch[j]).sum(1) >= least
+            i, j = i[good], j[good]
+            equal = band[i] == band[j]
+            first = band[i, equal.argmax(1)] == key[0][i]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])[first]), pa.array(np.minimum(ids[i], ids[j])[first])], ["a", "b"])
+            a = b
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            # the last bucket may go on in the next batch
+            tail = [held[k][-1].as_py() for k in ("bucket", "p", "q")]
+            same = np.ones(held.num_rows, bool)
+            for k, v in zip(("bucket", "p", "q"), tail):
+                same &= held[k].to_numpy() == v
+            cut = held.num_rows - int(same.sum())
+            if cut:
+                yield from pairs(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield from pairs(held)
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: n_shingles, component_id (smallest id that links reach), kept.
 
@@ -124,9 +174,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     looked at.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = freeze(own.mapInArrow(_sign(size, bands, rows), "doc_id long, n long, f1 long, f2 long, bands array<long>"))
+    signed = freeze(own.mapInArrow(_sign(size, bands, rows), "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch binary"))
     same = ["f1", "f2", "n"]
-    classes = signed.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("id"))
+    classes = signed.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min_by(F.struct("bands", "sketch"), "doc_id").alias("m"), F.min("doc_id").alias("id")) \
+        .select("id", "n", "m.bands", "m.sketch")
     dealt = classes.select("id", F.col("n").alias("trait"), F.explode("bands").alias("bucket"))
     members = freeze(dealt.withColumn("k", F.count("*").over(Window.partitionBy("bucket"))).where("k > 1").drop("k"))
     wanted = freeze(members.select(F.col("id").alias("doc_id")).distinct())
@@ -136,12 +187,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
         x, y = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
         return pairs.join(x, "a").join(y, "b").mapInArrow(_confirm(percent), "a long, b long").distinct()
 
+    marks = classes.join(wanted.withColumnRenamed("doc_id", "id"), "id", "left_semi").select("id", "bands", "sketch")
+    expected = bands * rows * percent / 100
+    least = int(expected - 5 * (expected * (1 - percent / 100)) ** .5)  # five standard deviations below a link's expectation
+
+    def across(now: DataFrame) -> DataFrame:
+        chunks = F.ceil(F.count("*").over(Window.partitionBy("bucket")) / CHUNK).cast("long")
+        dealt = now.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks"))) \
+            .withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)"))) \
+            .select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "trait", "c").join(marks, "id")
+        return dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(_alike(percent, bands, least), "a long, b long")
+
     # a link needs the smaller set to have at least `percent` of the larger
-    groups = linked_groups(members, lambda p, q: (100 * F.least(p, q) >= percent * F.greatest(p, q)), verify)
+    groups = linked_groups(members, lambda p, q: (100 * F.least(p, q) >= percent * F.greatest(p, q)), verify, across)
     ids = signed.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id"))
     of = ids.join(groups, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     # rows of one id but different texts count as one document
-    found = signed.drop("bands").join(of, same, "left").withColumn("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    found = signed.drop("bands", "sketch").join(of, same, "left").withColumn("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
                         F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 

@@ -52,4 +52,27 @@ select w.id::bigint as doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, c
 from w left join items using (id) left join cover using (id) where kind = 'd'
 """
 
-SQL = {"op1_substring_dedup": OP1, "op3_suffix_dedup": OP3, "op4_minhash_dedup": OP4, "op6_decontamination": OP6}
+OP7 = r"""
+with cut as (select page_id, coalesce(case when position('://' in url) > 0 then substring(url, position('://' in url) + 3) end, '') as after from pages),
+  p as (select page_id, regexp_extract(after, '^[^/?#]*') as raw, regexp_extract(substring(after, length(regexp_extract(after, '^[^/?#]*')) + 1), '^[^?#]*') as path from cut),
+  h as (select page_id, path, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host from p),
+  u as (select *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') as url from h),
+  r as (select * from (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) as t(kind, rh, rp)),
+  best as (select page_id, host, path, url, max_by(rh || rp, length(rh || rp)) as rule, max_by(kind, length(rh || rp)) as kind
+    from u left join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id, host, path, url)
+select page_id, host, path, rule, coalesce(kind, case when url in (select url from u where url <> '' and regexp_matches(host, 'casino|bets|pills|loans|porn')) then 'block' else 'allow' end) as verdict
+from best
+"""
+
+OP9 = r"""
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null),
+  n as (select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as len from v),
+  ok as (select * from n where len > 0 and isfinite(len)),
+  link as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id where list_inner_product(a.e, b.e) / (a.len * b.len) >= 0.93),
+  reach as (select vec_id as a, vec_id as c from embeddings union select reach.a, link.b from reach join link on link.a = reach.c),
+  low as (select a as vec_id, min(c) as component_id from reach group by 1),
+  degree as (select a as vec_id, count(*) as n from link group by 1)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from low left join degree using (vec_id)
+"""
+
+SQL = {"op1_substring_dedup": OP1, "op3_suffix_dedup": OP3, "op4_minhash_dedup": OP4, "op6_decontamination": OP6, "op7_url_filter": OP7, "op9_vector_dedup": OP9}
