@@ -21,16 +21,17 @@ def distance(a, b):
 
 
 def norm(line):
-    return re.sub(r"[\t\r\f\x0B]+| {2,}", " ", line).strip(" ").lower()
+    return line.lower().strip(" \t\r\f\x0b")
 
 
 def simhashes(spark, all_norms):
     """The query's own SimHash by its definition, from Spark's word hashes."""
-    words = sorted({w for n in all_norms for w in n.split(" ")})
-    hashed = {r.w: r.h & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = lambda n: [*zip(n.split(" "), n.split(" ")[1:]), (n.split(" ")[-1], None)]
+    words = sorted({w for n in all_norms for w in pairs(n)}, key=str)
+    hashed = {(r.a, r.b): r.h & (2**64 - 1) for r in spark.createDataFrame(words, "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
     out = {}
     for n in all_norms:
-        hs = [hashed[w] for w in n.split(" ")]
+        hs = [hashed[w] for w in pairs(n)]
         out[n] = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hs) > len(hs))
     return out
 
