@@ -44,7 +44,7 @@ def linked_groups(members: DataFrame, compatible: Callable[[Column, Column], Col
     """(id, component) of all ids that have a verified link, from members (bucket, id, trait) of buckets.
 
     Candidates are ids that share a bucket and whose traits are compatible. First every id is checked against one
-    member of each of its buckets (the smallest id, then the largest), which joins the copies of a text in time linear in their
+    member of each of its buckets, the smallest id, which joins the copies of a text in time linear in their
     number. Then only pairs that still lie in different groups are checked, all of them, so no link between groups
     is lost. verify takes (a, b) and returns those that are links. `across` may name those last pairs in its own way,
     from (bucket, id, trait, c) with c the group so far.
@@ -54,7 +54,7 @@ def linked_groups(members: DataFrame, compatible: Callable[[Column, Column], Col
         return freeze(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
 
     links = tested = groups = None
-    for leader in (F.min, F.max, None):
+    for leader in (F.min, None):
         if groups is None:
             now = members.withColumn("c", F.col("id"))
         else:
