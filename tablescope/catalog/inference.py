@@ -174,7 +174,7 @@ def _(t):
     return out.select("a", "b", "redundant")
 
 
-@book.add("k15_heatmap", f"""with {_ALL} pivot (select a, b, round(r, 3) + 0.0 as r from m) on b using first(r) group by a""".replace("pivot (select", "select * from (pivot (select").rstrip() + ")")
+@book.add("k15_heatmap", f"with {_ALL} select a, " + ", ".join(f"max(round(r, 3) + 0.0) filter (b = '{m}') as {m}" for m in METRICS) + " from m group by a")
 def _(t):
     return K.heatmap(t.lineitem, METRICS)
 

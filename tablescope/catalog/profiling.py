@@ -168,10 +168,11 @@ def _(t):
     return P.detect_industry(profiles(t))
 
 
-@book.add("c17_currency", f"""select 'cells' as input, 'USD' as code, '$' as symbol, 'cells' as source where exists (select 1 from orders where o_orderstatus = 'F')
+@book.add("c17_currency", f"""select 'cells' as input, case when f > o then 'USD' else 'EUR' end as code, case when f > o then '$' else '€' end as symbol, 'cells' as source
+ from (select sum(w) filter (o_orderstatus = 'F') as f, sum(w) filter (o_orderstatus = 'O') as o from (select o_orderstatus, 1 + (o_orderpriority = '2-HIGH')::int as w from orders))
  union all select 'header', 'EUR', '€', 'header' union all select 'word', 'GBP', '£', 'header' union all select 'none', 'USD', '$', 'default'""")
 def _(t):
-    m = messy(t).where(F.col("status") != "O")
+    m = messy(t)
     priced = t.part.select(F.col("p_retailprice").alias("unit_price_eur"), F.col("p_retailprice").alias("price_sterling"), F.col("p_retailprice").alias("price"))
     parts = [("cells", m, ["amount"]), ("header", priced, ["unit_price_eur"]), ("word", priced, ["price_sterling"]), ("none", priced, ["price"])]
     return reduce(DataFrame.unionByName, [P.detect_currency(df, cols).select(F.lit(n).alias("input"), "code", "symbol", "source") for n, df, cols in parts])
@@ -195,7 +196,7 @@ def _(t):
 @book.add("c18_kpi_caveats", """select 'a' as id, 'priority' as caveat_column, 'bad' as severity from (select count(*) from orders) union all select 'b', 'market', 'warn' union all select 'c', null, null""")
 def _(t):
     kpis = _gappy(t).agg(F.sum("o_totalprice").alias("v")).select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"), F.lit(h).alias("how_computed")) for i, n, h in
+        F.struct(F.lit("orders").alias("table_name"), F.lit(i).alias("id"), F.lit(n).alias("name"), F.lit(h).alias("how_computed")) for i, n, h in
         [("a", "Top priority", "status and Priority shares"), ("b", "Market total", "sum"), ("c", "Total", "sum")]])))
     return P.caveat_for_kpi(kpis, P.caveats(P.profile(_gappy(t), "orders"))).select("id", "caveat_column", "severity")
 

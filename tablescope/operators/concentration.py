@@ -96,7 +96,7 @@ def members(ranked: DataFrame, point: float = 0.8) -> DataFrame:
 
 def analyze(df: DataFrame, metrics: list[str], dims: list[str], keep: int = 3, least: float = 0.3) -> DataFrame:
     """The most concentrated measure of each dimension; row counts only where no metric qualifies; the strongest three."""
-    prof = profile(ranked_totals(dimension_totals(df, dims[:5], metrics[:3], count_rows=True)))
+    prof = profile(ranked_totals(dimension_totals(df, dims, metrics, count_rows=True)))
     w = Window.partitionBy("dimension").orderBy((F.col("metric") == ROWS).cast("int"), F.desc("gini"), "metric")
     best = prof.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
     return best.where(F.col("gini") >= least).orderBy(F.desc("gini"), "dimension").limit(keep)

@@ -251,12 +251,17 @@ def _glyph_in(text: Column) -> Column:
 
 
 def detect_currency(df: DataFrame, money_columns: list[str]) -> DataFrame:
-    """One row (code, symbol, source): from the headers, else the glyphs in the cells, else US dollars."""
+    """One row (code, symbol, source): from the headers, else the glyph most frequent in the cells, else US dollars.
+
+    The list of glyphs settles which one a cell has, and ties between glyphs.
+    """
     headers = " ".join(money_columns)
     shown = [col(c).cast("string") for c in money_columns]
-    order = F.create_map(*[F.lit(x) for i, c in enumerate(fixed.GLYPH_CODE.values()) for x in (c, i)])
-    per_column = [F.min_by(_glyph_in(s), F.try_element_at(order, _glyph_in(s))).alias(f"g{i}") for i, s in enumerate(shown)]
-    one = df.agg(*per_column) if per_column else df.sparkSession.range(1).select(F.lit(None).cast("string").alias("g0"))
+    glyphs = list(fixed.GLYPH_CODE.values())
+    seen = df.select(*[_glyph_in(s).alias(f"g{i}") for i, s in enumerate(shown)]) if shown else df
+    votes = lambda c: F.array_max(F.array(*[F.struct(F.count_if(F.col(c) == g).alias("n"), F.lit(-i).alias("o"), F.lit(g).alias("g")) for i, g in enumerate(glyphs)]))
+    counted = seen.agg(*[votes(f"g{i}").alias(f"g{i}") for i in range(len(shown))]) if shown else None
+    one = counted.select(*[F.when(F.col(f"g{i}.n") > 0, F.col(f"g{i}.g")).alias(f"g{i}") for i in range(len(shown))]) if shown else df.sparkSession.range(1).select(F.lit(None).cast("string").alias("g0"))
     head = _code_in(F.lit(headers))
     alias = F.create_map(*[F.lit(x) for kv in fixed.CODE_ALIAS.items() for x in kv])
     symbol = F.create_map(*[F.lit(x) for kv in fixed.CODE_SYMBOL.items() for x in kv])
@@ -279,12 +284,12 @@ def caveats(profiles: DataFrame, top: int = 6) -> DataFrame:
 
 
 def caveat_for_kpi(kpis: DataFrame, notes: DataFrame) -> DataFrame:
-    """Each KPI with the caveat of a column its text mentions: bad ones first, then the longest name."""
-    hit = notes.join(kpis.select("id", F.lower(F.concat_ws(" ", "name", "how_computed")).alias("text")),
-                     F.contains(F.col("text"), F.lower(F.col("column"))))
-    w = Window.partitionBy("id").orderBy((F.col("severity") != "bad").cast("int"), F.desc(F.length("column")), "column")
-    best = hit.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("id", F.col("column").alias("caveat_column"), "severity")
-    return kpis.join(best, "id", "left")
+    """Each KPI (table_name, id, …) with the caveat of a column of its table that its text mentions: bad ones first, then the longest name."""
+    hit = notes.join(kpis.select("table_name", "id", F.lower(F.concat_ws(" ", "name", "how_computed")).alias("text")),
+                     "table_name").where(F.contains(F.col("text"), F.lower(F.col("column"))))
+    w = Window.partitionBy("table_name", "id").orderBy((F.col("severity") != "bad").cast("int"), F.desc(F.length("column")), "column")
+    best = hit.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("table_name", "id", F.col("column").alias("caveat_column"), "severity")
+    return kpis.join(best, ["table_name", "id"], "left")
 
 
 def text_columns(df: DataFrame, profiles: DataFrame) -> DataFrame:

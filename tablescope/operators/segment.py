@@ -37,18 +37,16 @@ def _vector(df: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
 
 
 def fit_clusters(df: DataFrame, metrics: list[str], seed: int = 1234567, min_rows: int = 24) -> Clusters | None:
-    """k-means on up to 6 standardised metrics with spread; 2 groups, or 3 or 4 where each step cuts the cost by 20%.
+    """k-means on the standardised metrics with spread; 2 groups, or 3 or 4 where each step cuts the cost by 20%.
 
     All rows are used. None with fewer than 24 rows or 2 metrics.
     """
     one = df.agg(F.count("*").alias("n"), *[F.struct(F.avg(finite(m)), F.stddev_samp(finite(m))).alias(f"s{i}")
                                             for i, m in enumerate(metrics)]).first()
     scale = {m: (one[f"s{i}"][0], one[f"s{i}"][1]) for i, m in enumerate(metrics) if one[f"s{i}"][1]}
-    scale = dict(list(scale.items())[:6])
     if one["n"] < min_rows or len(scale) < 2:
         return None
-    # about 20,000 rows per task: small tables do not pay for many empty tasks in each iteration, large ones are left as they are
-    data = _vector(df, scale).select("__features").coalesce(one["n"] // 20_000 + 1).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _vector(df, scale).select("__features").persist(StorageLevel.MEMORY_AND_DISK)
     best = None
     for k in (2, 3, 4):
         model = KMeans(k=k, seed=seed, maxIter=30, featuresCol="__features", predictionCol="cluster").fit(data)

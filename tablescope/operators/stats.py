@@ -184,7 +184,7 @@ def multiple_regression(df: DataFrame, target: str, predictors: list[str]) -> Da
     return df.sparkSession.createDataFrame(_solve(n, means, s, names, 3), _COEF)
 
 
-def drivers(df: DataFrame, target: str, candidates: list[str], keep: int = 5) -> DataFrame:
+def drivers(df: DataFrame, target: str, candidates: list[str]) -> DataFrame:
     """Which metrics move the target on their own: standardised regression, strongest first.
 
     Constant predictors and those nearly derived from the target (|r| >= .95) are left out; two or more must remain.
@@ -192,7 +192,7 @@ def drivers(df: DataFrame, target: str, candidates: list[str], keep: int = 5) ->
     names = [target, *[c for c in candidates if c != target]]
     n, means, s = _moment_matrix(df, names)
     r = [abs(s[0, i]) / np.sqrt(s[0, 0] * s[i, i]) if s[0, 0] > 0 and s[i, i] > 0 else 1.0 for i in range(len(names))]
-    use = [0] + [i for i in range(1, len(names)) if s[i, i] > 0 and r[i] < 0.95][:keep]
+    use = [0] + [i for i in range(1, len(names)) if s[i, i] > 0 and r[i] < 0.95]
     rows = _solve(n, means[use], s[np.ix_(use, use)], [names[i] for i in use], 5) if len(use) > 2 else []
     out = df.sparkSession.createDataFrame([x for x in rows if x[1] != "intercept"], _COEF)
     return out.withColumn("significant", F.col("p") < 0.05).orderBy(F.desc(F.abs("beta")), "term")
@@ -246,8 +246,8 @@ def value_tautology(metric: Column, dimension: Column) -> Column:
 
 
 def group_comparisons(df: DataFrame, dims: list[str], metrics: list[str], top: int = 4) -> DataFrame:
-    """Which group differences are real: analysis of variance for 4 dimensions (2 to 20 values) and 3 metrics."""
-    tests = anova(group_moments(df, dims[:4], metrics[:3])).where(F.col("groups").between(2, 20))
+    """Which group differences are real: analysis of variance for every dimension of 2 to 20 values and every metric."""
+    tests = anova(group_moments(df, dims, metrics)).where(F.col("groups").between(2, 20))
     out = benjamini_hochberg(tests, "p").withColumn("tautology", value_tautology(F.col("metric"), F.col("dimension")))
     return out.orderBy(F.desc("significant"), F.desc("eta_sq"), "dimension", "metric").limit(top)
 
@@ -284,8 +284,8 @@ def associations(df: DataFrame, dims: list[str], top: int = 4) -> DataFrame:
 
 
 def relationships(df: DataFrame, metrics: list[str]) -> DataFrame:
-    """Full symmetric matrix in long form (a, b, r, strength, redundant) with a unit diagonal; up to 12 metrics."""
-    pairs = correlations(df, metrics[:12], bands=(0.6, 0.3), p_value=False)
+    """Full symmetric matrix in long form (a, b, r, strength, redundant) with a unit diagonal."""
+    pairs = correlations(df, metrics, bands=(0.6, 0.3), p_value=False)
     slim = pairs.select("a", "b", "r", "redundant")
     mirrored = slim.unionByName(slim.select(F.col("b").alias("a"), F.col("a").alias("b"), "r", "redundant"))
     names = mirrored.select("a").distinct()

@@ -175,13 +175,11 @@ def seasonality(frame: DataFrame, cadence: str, series: list[str] = ()) -> DataF
             .withColumn("seasonal", F.max("index").over(w) >= 1.15).drop("m", "mean", "n", "seen"))
 
 
-MAX_LAG = 24  # covers series of up to 300,000 periods under the rule below
-
-
 def trend_test(frame: DataFrame, series: list[str] = (), p_value: bool = True) -> DataFrame:
     """OLS slope on the position with a Newey-West (Bartlett) standard error, per series.
 
-    The lag count is floor(4 (n/100)^(2/9)), at least 1 and at most n - 2. Only window functions and sums.
+    The lag count is floor(4 (n/100)^(2/9)), at least 1 and at most n - 2. The products at a lag
+    are taken over the series' own array of periods, so every series has just the lags that it needs.
     """
     series = list(series)
     w = _over(series).orderBy("period")
@@ -195,15 +193,19 @@ def trend_test(frame: DataFrame, series: list[str] = (), p_value: bool = True) -
     resid = fitted.withColumn("sxx", sxx).withColumn("slope", slope).withColumn(
         "e", F.col("dv") - F.col("slope") * F.col("dt")).withColumn("u", F.col("dt") * F.col("e"))
     lags = F.greatest(F.lit(1.0), F.least(F.floor(4 * F.pow(F.col("n") / 100.0, F.lit(2.0 / 9.0))), F.col("n") - 2))
-    products = resid.withColumn("L", lags)
-    for k in range(1, MAX_LAG + 1):
-        weight = F.greatest(F.lit(0.0), 1 - k / (F.col("L") + 1))
-        products = products.withColumn(f"g{k}", weight * F.coalesce(F.col("u") * F.lag("u", k).over(w), F.lit(0.0)))
-    meat = F.sum(F.col("u") ** 2) + 2 * sum((F.sum(f"g{k}") for k in range(1, MAX_LAG + 1)), F.lit(0.0))
-    one = products.withColumn("e1", F.lag("e").over(w)).groupBy(*series).agg(
+    one = resid.withColumn("L", lags).withColumn("e1", F.lag("e").over(w)).groupBy(*series).agg(
         F.first("n").alias("n"), F.first("slope").alias("slope"), F.first("sxx").alias("sxx"), F.first("mean").alias("mean"),
-        meat.alias("meat"), F.sum(F.col("e") ** 2).alias("sse"), F.sum(F.col("dv") ** 2).alias("sst"),
+        F.transform(F.sort_array(F.collect_list(F.struct("t", "u"))), lambda s: s["u"]).alias("us"), F.first("L").alias("L"),
+        F.sum(F.col("u") ** 2).alias("uu"), F.sum(F.col("e") ** 2).alias("sse"), F.sum(F.col("dv") ** 2).alias("sst"),
         F.sum(F.col("e") * F.col("e1")).alias("ee"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
+
+    def at_lag(k: Column) -> Column:
+        left, right = F.slice("us", k + 1, F.size("us") - k), F.slice("us", F.lit(1), F.size("us") - k)
+        return (1 - k / (F.col("L") + 1)) * total(F.zip_with(left, right, lambda a, b: F.coalesce(a * b, F.lit(0.0))))
+
+    lagged = F.transform(F.sequence(F.lit(1), F.col("L").cast("int")), at_lag)
+    one = one.where("n >= 4").withColumn("meat", F.col("uu") + 2 * total(lagged))
     se = F.sqrt(F.greatest(F.col("meat"), F.lit(0.0))) / F.col("sxx")
     start = F.col("mean") - F.col("slope") * (F.col("n") - 1) / 2
     out = one.where("n >= 4").select(

@@ -11,10 +11,13 @@ from pyspark.sql import types as T
 from ..functions.expr import col
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", infer: bool = False) -> DataFrame:
-    """CSV, TSV or TXT with a header row; cells stay text unless `infer`. Headers are trimmed, blank rows dropped."""
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", infer: bool = False, multi_line: bool = False) -> DataFrame:
+    """CSV, TSV or TXT with a header row; cells stay text unless `infer`. Headers are trimmed, blank rows dropped.
+
+    `multi_line` reads line breaks inside quotes, at the price of one task per file; without it large files are split.
+    """
     df = (spark.read.option("header", True).option("inferSchema", infer).option("sep", sep).option("quote", '"')
-          .option("escape", '"').option("multiLine", True).csv(path))
+          .option("escape", '"').option("multiLine", multi_line).csv(path))
     df = df.toDF(*[c.strip() for c in df.columns])
     filled = reduce(lambda a, b: a | b, [F.coalesce(F.trim(col(c).cast("string")) != "", F.lit(False)) for c in df.columns])
     return df.where(filled)

@@ -245,3 +245,19 @@ def test_plans(spark, sales, tmp_path):
     assert "GreaterThan(Revenue,150.0)" in plan and "ReadSchema: struct<Revenue:double,Units:bigint>" in plan
     year = relational.where(spark.read.parquet(path).withColumn("Date", F.col("Date").cast("timestamp_ntz")), "Date", "year", 2023)
     assert "Cartesian" not in year._jdf.queryExecution().toString()
+
+
+def test_no_cap_on_facts(spark):
+    facts = spark.createDataFrame([("k", i, f"figure {1000 + 137 * i}") for i in range(300)], "key string, pos int, text string")
+    said = spark.createDataFrame([("k", 1, f"it was {1000 + 137 * 290}, not 987654")], "key string, answer_id int, text string")
+    assert {r["figure"]: r["grounded"] for r in grounding.check(said, facts).collect()} == {1000.0 + 137 * 290: True, 987654.0: False}
+    ev = facts.select("key", "pos", (1000.0 + 137 * facts.pos).alias("value"))
+    assert {r["raw"]: r["grounded"] for r in grounding.verify(said, ev.where("pos > 250 or pos < 5")).collect()}[str(1000 + 137 * 290)]
+
+
+def test_most_frequent_glyph_and_table_of_a_caveat(spark):
+    cells = spark.createDataFrame([("$5",)] * 9 + [("€5",), (None,)], "price string")
+    assert tuple(profile.detect_currency(cells, ["price"]).first()) == ("USD", "$", "cells")
+    notes = spark.createDataFrame([("a", "status", "bad")], "table_name string, column string, severity string")
+    kpis = spark.createDataFrame([("a", "1", "Status", ""), ("b", "1", "Status", "")], "table_name string, id string, name string, how_computed string")
+    assert {r["table_name"]: r["severity"] for r in profile.caveat_for_kpi(kpis, notes).collect()} == {"a": "bad", "b": None}

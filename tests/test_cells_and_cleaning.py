@@ -87,7 +87,7 @@ def test_drop_empty_columns(spark):
 def test_readers_and_csv_sink(spark, tmp_path):
     src = tmp_path / "in.csv"
     src.write_text('Region ,Value\nNorth,"1,5"\n,\n" a ""b""",=1+1\n')
-    df = readers.read_delimited(spark, str(src))
+    df = readers.read_delimited(spark, str(src), multi_line=True)
     assert df.columns == ["Region", "Value"] and df.count() == 2
     out = str(tmp_path / "out")
     sinks.write_csv(df.coalesce(1), out)
