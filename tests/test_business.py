@@ -249,7 +249,7 @@ def test_plans(spark, sales, tmp_path):
 
 def test_no_cap_on_facts(spark):
     facts = spark.createDataFrame([("k", i, f"figure {1000 + 137 * i}") for i in range(300)], "key string, pos int, text string")
-    said = spark.createDataFrame([("k", 1, f"it was {1000 + 137 * 290}, not 987654")], "key string, answer_id int, text string")
+    said = spark.createDataFrame([("k", 1, f"it was {1000 + 137 * 290} and not 987654")], "key string, answer_id int, text string")
     assert {r["figure"]: r["grounded"] for r in grounding.check(said, facts).collect()} == {1000.0 + 137 * 290: True, 987654.0: False}
     ev = facts.select("key", "pos", (1000.0 + 137 * facts.pos).alias("value"))
     assert {r["raw"]: r["grounded"] for r in grounding.verify(said, ev.where("pos > 250 or pos < 5")).collect()}[str(1000 + 137 * 290)]
