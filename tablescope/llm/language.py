@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .blocks import with_carried
 
 LANE = 256  # characters that are parsed in one go; every lane begins a new phrase
-CHARS = 4 << 20
+CHARS = 1 << 20  # characters of texts that a task parses side by side
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, bits map<string,double>"
 
 
@@ -115,7 +115,7 @@ def phrases(symbols: np.ndarray, table: np.ndarray, roots: np.ndarray, width: in
     return count.reshape(len(roots), lanes) + (symbols[0] >= 0)
 
 
-def _label(sent, modulus: int, held: int):
+def _label(sent, modulus: int, held: int, carried_text: str | None = None):
     import zlib
 
     def run(batches):
@@ -123,7 +123,8 @@ def _label(sent, modulus: int, held: int):
         table, roots, width = model.table()
         cost = np.array(model.cost)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            column = batch.column("carried").field(carried_text) if carried_text else batch.column("text")
+            ids, texts = batch.column("doc_id").to_pylist(), column.to_pylist()
             done = 0
             while done < len(texts):
                 size, upto = 0, done
@@ -195,8 +196,11 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     language by code point; equal rows get equal results; other columns are not looked at; those in `carry` come back as a struct `carried`. Nothing but the text decides.
     """
     own, along = with_carried(docs, doc_id, text, carry)
+    inside = text if carry and text in carry and docs.schema[text].dataType.typeName() == "string" else None
+    if inside:  # texts are not sent twice
+        own = own.drop("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the languages and the sample's bound, not the table
-    return own.mapInArrow(_label(sent, modulus, held), RESULT + along)
+    return own.mapInArrow(_label(sent, modulus, held, inside), RESULT + along)
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:
