@@ -1,111 +1,78 @@
 """Rank and running totals over a whole table, without one task that holds the whole table.
 
-A window without PARTITION BY moves every row to one task. `ordered` keeps that plan only for tables
-proven small. Above that it cuts the sort order into ranges at fixed, literal split points, adds up each
-range, and gives every range its own window plus the totals of the ranges before it. The split points are
-whole sort keys (value and tie-break), so one value that holds a third of all rows is cut as well.
+A window without PARTITION BY moves every row to one task. `ordered` lets Spark's range exchange put the rows in
+order over as many partitions as they need, numbers them inside each partition, and adds what lies in the partitions
+before. The range keys are whole sort keys (value and tie-break), so one value that holds a third of all rows is cut
+as well.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import freeze
 
-SAMPLE = 4096
-
-
-def _split_points(df: DataFrame, keys: list[str], ranges: int) -> list[tuple] | None:
-    """Evenly spaced sort keys of a uniform sample; None when the table has fewer rows than the sample.
-
-    The SAMPLE smallest hashes are a uniform sample, and taking them is a per-task top-k.
-    """
-    rows = (df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(SAMPLE).collect())
-    if len(rows) < SAMPLE:
-        return None
-    step = SAMPLE // ranges
-    ordered_rows = sorted(set(tuple(r) for r in rows))
-    return ordered_rows[step::step]
-
+#: Rows that one task puts in order.
+ROWS = 4_000_000
+_PLACE = (1 << 33) - 1  # bits of monotonically_increasing_id that count inside a partition
 
-def _range_number(base: DataFrame, keys: list[str], points: list[tuple]) -> tuple[Column, Column, Column]:
-    """How many split points lie at or before the row's sort key: a binary search in a small sorted array.
 
-    The array is a scalar subquery over the split points, so the plan does not grow with their number.
-    """
-    local = base.sparkSession.createDataFrame(points, base.select(*keys).schema)
-    mine = F.struct(*[F.col(k) for k in keys]) if len(keys) > 1 else F.col(keys[0])  # plain values compare faster
-    table = local.agg(F.sort_array(F.collect_list(mine))).scalar()
-    steps = [1 << i for i in reversed(range(len(points).bit_length()))]
-    last = len(points)
+def _in_order(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows sorted by `keys` over numbered partitions, with `__part` and the 1-based place in it, `__at`; written once."""
+    rows = df.count()
+    parts = max(1, rows // ROWS, min(rows // 10_000, df.sparkSession.sparkContext.defaultParallelism))
+    run = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE)) + 1
+    return freeze(run.select("*", F.spark_partition_id().alias("__part"), place.alias("__at")))
 
-    def advance(at: Column, by: Column) -> Column:
-        to = at + by
-        return F.when((to <= last) & (F.get(F.col("__points"), F.least(to, F.lit(last)) - 1) <= F.col("__mine")), to).otherwise(at)
 
-    return table, mine, F.coalesce(F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), advance), F.lit(0))
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on `keys`, where NULL is a key like others."""
+    named = right.select(*[F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return left.join(named, same).drop(*[f"__k_{k}" for k in keys])
 
 
-def ordered(df: DataFrame, order: list[str], sums: dict[str, str] | None = None, within: list[str] = (),
-            rank: str | None = "rank", ranges: int = 256, frozen: bool = False) -> DataFrame:
+def ordered(df: DataFrame, order: list[str], sums: dict[str, str] | None = None, within: list[str] = (), rank: str | None = "rank") -> DataFrame:
     """Add a 1-based `rank` and, for each {new: source} in `sums`, the running total up to the row.
 
     `order` lists plain ascending columns that are never NULL and together identify a row within
-    `within`; sort by a negated column for a descending order. `within` must have few values.
+    `within`; sort by a negated column for a descending order. All columns are shuffled, so give the keys only and join
+    what is picked back to wide rows.
     """
-    sums = sums or {}
-    within = list(within)
-    keys = [*within, *order]
-    base = df if frozen else freeze(df)
-    points = _split_points(base, keys, ranges)
-    added = {rank: F.lit(1).cast("long")} if rank else {}
-    added.update({new: F.col(src).cast("double") for new, src in sums.items()})
-    if points is None:
-        w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-        w = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return base.select("*", *[F.sum(c).over(w).alias(n) for n, c in added.items()])
-
-    table, mine, search = _range_number(base, keys, points)
-    cut = (base.select("*", table.alias("__points"), mine.alias("__mine")).withColumn("__range", search)
-           .drop("__points", "__mine"))
-    totals = cut.groupBy(*within, "__range").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in added.items()])
-    # at most (values of `within`) x (ranges) rows
-    ahead = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    ahead = ahead.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*within, "__range", *[
-        F.coalesce(F.sum(f"__t_{n}").over(ahead), F.lit(0)).alias(f"__o_{n}") for n in added])
-    own = Window.partitionBy(*within, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cut.select("*", *[F.sum(c).over(own).alias(f"__w_{n}") for n, c in added.items()])
-    # without `within` there are at most `ranges` offsets; with it Spark chooses by size
-    joined = ranked.join(offsets if within else F.broadcast(offsets), [*within, "__range"])
-    return joined.select(*base.columns, *[(F.col(f"__w_{n}") + F.col(f"__o_{n}")).alias(n) for n in added])
-
-
-SMALL_ROWS = 2_000_000
-
-
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[str] = (),
-              small_rows: int | None = None) -> DataFrame:
+    sums, within = sums or {}, list(within)
+    base = _in_order(df, [*within, *order])
+    mine = [*within, "__part"]
+    totals = base.groupBy(*mine).agg(F.count("*").alias("__rows"), F.min("__at").alias("__first"), *[
+        F.sum(F.col(src).cast("double")).alias(f"__t_{n}") for n, src in sums.items()])
+    # one row per partition, and one more per group
+    ahead = Window.partitionBy(*(within or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = [(F.coalesce(F.sum("__rows").over(ahead), F.lit(0)) - F.col("__first") + 1).alias("__o")] if rank else []
+    offsets = totals.select(*mine, *shift, *[F.coalesce(F.sum(f"__t_{n}").over(ahead), F.lit(0.0)).alias(f"__o_{n}") for n in sums])
+    own = Window.partitionBy(*mine).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    run = base.select("*", *[F.sum(F.col(src).cast("double")).over(own).alias(f"__w_{n}") for n, src in sums.items()])
+    joined = _beside(run, offsets, mine)
+    return joined.select(*df.columns, *([(F.col("__at") + F.col("__o")).alias(rank)] if rank else []),
+                         *[(F.col(f"__w_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums])
+
+
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles of `value`, one column per {name: p}, per `within` group.
 
-    Equal values are counted together first. `percentile` keeps every distinct value of a group in one task,
-    so it is used only when the row count is small. Beyond that the values are put in order by range, and the
-    rows that cover the wanted positions are picked.
+    Equal values are counted together first. The distinct values are then put in order, and those that cover the
+    wanted positions are picked, so no task holds all values of a group.
     """
     within = list(within)
-    limit = SMALL_ROWS if small_rows is None else small_rows
     data = df.where(F.col(value).isNotNull()).select(*within, F.col(value).cast("double").alias("__v"))
     counts = data.groupBy(*within, "__v").agg(F.count("*").alias("__n"))
-    if data.count() <= limit:
-        many = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("__n")).alias("__q")
-        found = (counts.groupBy(*within) if within else counts).agg(many)
-        return found.select(*within, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
     run = ordered(counts, ["__v"], {"__upto": "__n"}, within, rank=None)
     if within:
-        spread = run.join(run.groupBy(*within).agg(F.max("__upto").alias("__total")), within)
+        spread = _beside(run, run.groupBy(*within).agg(F.sum("__n").alias("__total")), within)
     else:
-        spread = run.withColumn("__total", run.agg(F.max("__upto")).scalar())
+        spread = run.withColumn("__total", run.agg(F.sum("__n")).scalar())
     aggs = []
     for n, p in probs.items():
         at = (F.col("__total") - 1) * F.lit(float(p))
@@ -124,8 +91,3 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
         if "__n" in df.columns else df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
     run = ordered(counts, [value], {"__upto": "__n"}, rank=None)
     return run.select(value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias("avg_rank"))
-
-
-def top_share(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """The first n rows of a total order (a per-task top-k followed by a merge)."""
-    return df.orderBy(*order).limit(n)

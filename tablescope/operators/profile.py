@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import cells, fixed
 from ..functions.expr import col, finite, ratio
-from ..functions.ranking import SMALL_ROWS, quantiles
+from ..functions.ranking import quantiles
 from .headers import is_price_like, is_quantity, is_rate_like, is_revenue, metric_kind, readable
 
 _STATS = ["min", "max", "mean", "sd", "sum", "median"]
@@ -44,7 +44,6 @@ def profile(df: DataFrame, table_name: str, types: dict[str, str] | None = None,
     only sketches are shuffled. `types` pins semantic types; others follow from the schema.
     """
     types = types or {}
-    small = exact and df.count() <= SMALL_ROWS
     kinds = {"numeric": lambda c: finite(c), "date": lambda c: c.cast("timestamp_ntz"), "text": lambda c: F.when(
         ~cells.is_missing(c.cast("string"), False), c.cast("string"))}
     parts = []
@@ -66,13 +65,11 @@ def profile(df: DataFrame, table_name: str, types: dict[str, str] | None = None,
             extra.append(F.approx_count_distinct("v", 0.02).alias("distinct"))
         out = long.groupBy("column").agg(F.count("*").alias("rows"), F.count("v").alias("non_null"), *extra)
         if exact:
-            # distinct values are counted first; a median over them holds them all in one task, hence the size check
             values = long.where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count("*").alias("n"))
-            weighted = [F.percentile("v", F.lit(0.5), F.col("n")).alias("median")] if kind == "numeric" and small else []
-            sizes = values.groupBy("column").agg(F.count("*").alias("distinct"), *weighted)
+            sizes = values.groupBy("column").agg(F.count("*").alias("distinct"))
             out = out.join(sizes, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
-            if kind == "numeric" and not small:
-                out = out.join(quantiles(long, "v", {"median": 0.5}, ["column"], small_rows=SMALL_ROWS), "column", "left")
+            if kind == "numeric":
+                out = out.join(quantiles(long, "v", {"median": 0.5}, ["column"]), "column", "left")
         missing = {c: t for c, t in _EMPTY.items() if c not in out.columns}
         out = out.select("*", *[F.lit(None).cast(t).alias(c) for c, t in missing.items()])
         parts.append(out.select("column", F.lit(kind).alias("kind"), "rows", "non_null", "distinct", *_EMPTY))

@@ -103,8 +103,8 @@ def rfm_members(df: DataFrame, entity: str, time: str, value: str, min_entities:
     """Each entity with its quintile scores for recency and frequency and segment; ties are broken by entity."""
     base = freeze(entity_facts(df, entity, time, value))
     n = base.agg(F.count("*")).scalar()
-    ranked = ordered(base, ["recency", "entity"], rank="__r", frozen=True)
-    ranked = ordered(ranked, ["frequency", "entity"], rank="__f", frozen=True)
+    ranked = ordered(base, ["recency", "entity"], rank="__r")
+    ranked = ordered(ranked, ["frequency", "entity"], rank="__f")
     scored = ranked.withColumn("__n", n).where(F.col("__n") >= min_entities).select(
         "entity", "recency", "frequency", "monetary", (6 - quintile(F.col("__r"), F.col("__n"))).alias("r"),
         quintile(F.col("__f"), F.col("__n")).alias("f"))

@@ -12,16 +12,19 @@ from ..functions.ranking import ordered
 def exact_sample(df: DataFrame, k: int, keys: list[str], seed: int = 7) -> DataFrame:
     """A uniform sample of exactly k rows (all when there are fewer), with the number of rows it was drawn from.
 
-    Rows are ordered by a hash of their key, so each task keeps its k smallest and the result does not
-    depend on the partitioning. `keys` identify a row.
+    The k smallest by a hash of their key are taken, so the result does not depend on the partitioning. Only hashes
+    below a bound that leaves a few more than k rows are put in order. `keys` identify a row.
     """
     lottery = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in keys]))
-    total = df.agg(F.count("*")).scalar()
-    return df.orderBy(lottery, *keys).limit(k).withColumn("sampled_from", total)
-
-
-def approximate_sample(df: DataFrame, fraction: float, seed: int = 7) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
+    total = df.count()
+    share = (k + 8 * k ** 0.5 + 16) / max(total, 1)
+    few = df
+    while share < 1:
+        few = df.where(lottery <= f"{int(share * (1 << 128)):032x}")
+        if few.count() >= k:
+            break
+        few, share = df, share * 2
+    return few.orderBy(lottery, *keys).limit(k).withColumn("sampled_from", F.lit(total).cast("long"))
 
 
 def row_budget(df: DataFrame, max_rows: int = 100_000, max_bytes: float = 3_800_000.0) -> DataFrame:
@@ -39,11 +42,12 @@ def _kept(idx: Column, n: Column, cap: Column) -> Column:
 
 def systematic_sample(df: DataFrame, order: list[str], cap: int) -> DataFrame:
     """`cap` evenly spaced rows of the table in the given order; `order` identifies a row."""
-    ranked = ordered(df, order, rank="__rank")
+    ranked = ordered(df.select(*order), order, rank="__rank")
     n = F.col("__n").cast("double")
     size = ranked.withColumn("__n", ranked.agg(F.count("*")).scalar())
     wanted = F.least(F.lit(float(cap)), n)
-    return size.where(_kept((F.col("__rank") - 1).cast("double"), n, wanted)).drop("__rank", "__n")
+    picked = size.where(_kept((F.col("__rank") - 1).cast("double"), n, wanted)).select(*order)
+    return picked if set(df.columns) == set(order) else df.join(picked, order, "left_semi")
 
 
 def downsample(frame: DataFrame, order: str, points: int, series: list[str] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescope.functions import ranking as R
+from tablescope.sources.samples import exact_sample
 
 
 @pytest.fixture(scope="module")
@@ -32,21 +33,26 @@ def test_ordered_within_groups(skewed):
     assert (out["rank"] == want.sort_values("id").reset_index(drop=True)["rank"]).all()
 
 
-def test_ordered_cuts_the_hot_value(skewed):
+def test_ordered_cuts_the_hot_value(skewed, monkeypatch):
     _, df = skewed
-    frozen = R.freeze(df)
-    points = R._split_points(frozen, ["v", "id"], 256)
-    table, mine, search = R._range_number(frozen, ["v", "id"], points)
-    cut = frozen.select("*", table.alias("__points"), mine.alias("__mine")).withColumn("__range", search)
-    biggest = cut.groupBy("__range").count().agg(F.max("count")).first()[0]
-    assert biggest < 12_000 / 20
+    monkeypatch.setattr(R, "ROWS", 400)
+    sizes = [r["count"] for r in R._in_order(df, ["v", "id"]).groupBy("__part").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 1_200
+
+
+def test_null_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    got = {r["g"]: r["m"] for r in R.quantiles(df, "v", {"m": 0.5}, ["g"]).collect()}
+    assert got == {None: 2.0, "a": 5.0}
+    ranks = {(r["g"], r["v"]): r["rank"] for r in R.ordered(df, ["v"], within=["g"]).collect()}
+    assert ranks == {(None, 1.0): 1, (None, 3.0): 2, ("a", 5.0): 1}
 
 
 @pytest.mark.parametrize("within", [[], ["g"]])
-def test_quantiles_large_path(skewed, within):
+def test_quantiles_match_pandas(skewed, within):
     pdf, df = skewed
     probs = {"q1": 0.25, "median": 0.5, "p90": 0.9}
-    out = R.quantiles(df, "v", probs, within, small_rows=0).toPandas()
+    out = R.quantiles(df, "v", probs, within).toPandas()
     for _, row in out.iterrows():
         x = pdf[pdf["g"] == row["g"]]["v"] if within else pdf["v"]
         for n, p in probs.items():
@@ -61,6 +67,14 @@ def test_average_ranks(skewed):
     assert np.allclose(got.sort_index(), want.sort_index())
 
 
+def test_exact_sample_takes_the_smallest_hashes(skewed):
+    _, df = skewed
+    got = exact_sample(df, 500, ["id"])
+    lottery = F.md5(F.concat_ws("|", F.lit("7"), F.col("id").cast("string")))
+    assert {r["id"] for r in got.collect()} == {r["id"] for r in df.orderBy(lottery).limit(500).collect()}
+    assert exact_sample(df, 20_000, ["id"]).count() == 12_000 and got.first()["sampled_from"] == 12_000
+
+
 def test_small_and_empty_tables(spark):
     df = spark.createDataFrame([(3.0, 1), (1.0, 2)], "v double, id int")
     assert [r["rank"] for r in R.ordered(df, ["v", "id"]).orderBy("id").collect()] == [2, 1]
