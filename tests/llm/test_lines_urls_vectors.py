@@ -76,6 +76,33 @@ def test_lines(spark):
     assert lines.dedup_lines(d.limit(0)).count() == 0
 
 
+def test_lines_recall(spark):
+    """Links against edit similarity alone, with no rule of the index: copies with a replaced word in ten, and typing errors in short lines."""
+    r = random.Random(4)
+    vocab = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 9))) for _ in range(3000)]
+    pairs = []
+    for k in (10, 20, 40, 80):
+        for _ in range(40):
+            words = r.choices(vocab, k=k)
+            other = [*words]
+            for i in r.sample(range(k), k // 10):
+                other[i] = r.choice(vocab)
+            pairs.append((" ".join(words), " ".join(other)))
+    for k in (5, 7, 9, 14, 30, 48):
+        for _ in range(20):
+            line = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+            i = r.randrange(k)
+            pairs.append((line, r.choice([line[:i] + line[i + 1:], line[:i] + "ü" + line[i + 1:], line[:i] + "ü" + line[i:]])))
+    pairs = [(a, b) for a, b in pairs if a != b and 5 * distance(a, b) <= max(len(a), len(b))]
+    docs = [(2 * i + j, x) for i, pair in enumerate(pairs) for j, x in enumerate(pair)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {x.doc_id for x in lines.dedup_lines(d, index="minhash").where("n_removed > 0").collect()}
+    copies = {2 * i + 1 for i in range(len(pairs))}
+    assert len(pairs) > 200 and len(found & copies) >= .95 * len(copies)
+    tiny = {2 * i + 1 for i, (a, b) in enumerate(pairs) if max(len(a), len(b)) <= 9}
+    assert tiny and tiny <= found and len(found - copies) <= 1
+
+
 def test_urls(spark):
     pages = [(1, "https://WWW.A.net/x"), (2, "http://a.EXAMPLE.net/en/1?q=/de/"), (3, "x://example.com/de/"), (4, "x://notexample.com/de/"), (5, "x://example.com"),
              (6, "y://q.org/fr/#z"), (7, None), (8, "no scheme"), (9, ""), (10, "http://casino.example.org/a/"), (11, "ftp://CASINO.example.org/a?x"), (12, "x://net"),
