@@ -2,7 +2,8 @@
 
 Every vector is described by its nearest reference points in order of nearness. Inverted lists per (label, pivot) hold the
 vectors that name the pivot; two vectors of a list are a candidate pair if they share enough pivots, and each pair is
-looked at in the list of its first shared pivot only. Lists are dealt in chunks, compared two at a time with one
+looked at in the list of its first shared pivot only. Pivots lie apart from each other, so a dense cluster has about one, the
+nearest of all its members, and its pairs are compared in full in that list. Lists are dealt in chunks, compared two at a time with one
 matrix product, and give counts and one edge per vector, never pairs.
 """
 from __future__ import annotations
@@ -16,11 +17,24 @@ from ..session import freeze
 from .links import components
 
 CHUNK = 512
+APART, DRAWN = .7, 4  # pivots have cosines below APART, and are taken from DRAWN times as many vectors
 POSTING = "label string, dim int, pivot int, id long, copies long, pivots binary, vec binary"
 LINKS = "a long, b long, n long"
 
 
-def _postings(sent, near: int):
+def _apart(x: np.ndarray, pivots: int) -> np.ndarray:
+    """The first `pivots` rows of x, in order, that are not near an earlier one taken."""
+    taken = []
+    for i in range(len(x)):
+        if len(taken) < pivots and (not taken or (x[taken] @ x[i]).max() < APART):
+            taken.append(i)
+    return x[taken]
+
+
+def _postings(sent, near: int, threshold: float | None):
+    """One row per vector and pivot it names. With a threshold, a pivot is left out if no vector within the threshold can have
+    it as its nearest: the border between it and the vector's own nearest pivot is further away (-1 in `pivots`)."""
+
     def run(batches):
         pivots = sent.value
         for batch in batches:
@@ -35,10 +49,14 @@ def _postings(sent, near: int):
                 k = min(near, len(p))
                 first = np.argpartition(-score, k - 1, axis=1)[:, :k]
                 first = np.take_along_axis(first, np.argsort(-np.take_along_axis(score, first, 1), axis=1, kind="stable"), 1).astype(np.int32)
-                rows = np.repeat(np.arange(len(own)), k)
+                if threshold is not None:
+                    least = np.take_along_axis(score, first.astype(np.int64), 1)
+                    border = np.sqrt(np.maximum(2 - 2 * (p @ p.T)[first[:, :1], first], 0))
+                    first[least[:, :1] - least > (1 - threshold ** 2) ** .5 * border + 1e-6] = -1
+                rows, at = np.nonzero(first >= 0)
                 vec, named = [v.tobytes() for v in x], [v.tobytes() for v in first]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([label[own[r]] for r in rows], pa.string()), pa.array(np.full(len(rows), dim, np.int32)), pa.array(first.reshape(-1)), pa.array(ids[own][rows]),
+                    pa.array([label[own[r]] for r in rows], pa.string()), pa.array(np.full(len(rows), dim, np.int32)), pa.array(first[rows, at]), pa.array(ids[own][rows]),
                     pa.array(copies[own][rows]), pa.array([named[r] for r in rows], pa.binary()), pa.array([vec[r] for r in rows], pa.binary())],
                     ["label", "dim", "pivot", "id", "copies", "pivots", "vec"])
     return run
@@ -76,7 +94,7 @@ def _compare(threshold: float, shared: int, kind):
             s, t = i[a:a + (1 << 16)], j[a:a + (1 << 16)]
             good = (x[s] * x[t]).sum(1) / (length[s] * length[t]) >= threshold
             s, t = s[good], t[good]
-            both = (named[s][:, :, None] == named[t][:, None, :]).any(2)
+            both = (named[s][:, :, None] == named[t][:, None, :]).any(2) & (named[s] >= 0)
             first = np.where(both, named[s], np.iinfo(np.int32).max).min(1)
             good = (both.sum(1) >= min(shared, named.shape[1])) & (first == pivot)
             hits.append(np.stack([s[good], t[good]]))
@@ -87,15 +105,15 @@ def _compare(threshold: float, shared: int, kind):
     return run
 
 
-def similar_vectors(vectors: DataFrame, threshold: float = 0.93, pivots: int = 512, near: int = 8, shared: int = 2,
+def similar_vectors(vectors: DataFrame, threshold: float = 0.93, pivots: int = 512, near: int = 8, shared: int = 1,
                     vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """One row per vector: n_links, component_id, kept.
 
     Vectors are compared if their labels are equal and not NULL and their lengths are equal, by cosine in double precision. Vectors that
     are NULL or zero or hold NULL or non-finite components link with nothing, nor do rows without id, whose
     component_id is NULL; they all stay. Equal vectors are one class from the start and link with each other. Pivots are
-    at most `pivots` vectors chosen by a hash of their id (the documented bound of the sample, per vector length); every vector is indexed. Pairs
-    with fewer than `shared` common pivots among their `near` nearest are not found. Other columns are not looked at.
+    at most `pivots` vectors that lie apart, taken from DRAWN times as many chosen by a hash of their id (the documented bound of the sample, per
+    vector length); every vector is indexed. Pairs with fewer than `shared` common pivots among their `near` nearest are not found. Other columns are not looked at.
     """
     kind = np.float64 if vectors.schema[embedding].dataType.elementType.typeName() == "double" else np.float32
     own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"),
@@ -110,11 +128,11 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.93, pivots: int = 5
     sizes = [r[0] for r in distinct.select(F.size("vec")).distinct().limit(64).collect()]
     chosen = {}
     for dim in sizes:
-        rows = distinct.where(F.size("vec") == dim).orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").collect()
+        rows = distinct.where(F.size("vec") == dim).orderBy(F.xxhash64("id"), "id").limit(pivots * DRAWN).select("vec").collect()
         x = np.array([r["vec"] for r in rows], float)
-        chosen[dim] = x / np.linalg.norm(x, axis=1, keepdims=True)
+        chosen[dim] = _apart(x / np.linalg.norm(x, axis=1, keepdims=True), pivots)
     sent = vectors.sparkSession.sparkContext.broadcast(chosen)
-    posted = distinct.mapInArrow(_postings(sent, near), POSTING)
+    posted = distinct.mapInArrow(_postings(sent, near, threshold if shared == 1 and 0 < threshold <= 1 else None), POSTING)
     listed = ["label", "dim", "pivot"]
     chunks = F.ceil(F.count("*").over(Window.partitionBy(*listed)) / CHUNK).cast("long")
     dealt = posted.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks"))) \

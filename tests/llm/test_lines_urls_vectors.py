@@ -150,3 +150,25 @@ def test_vectors(spark, monkeypatch):
     exact = {(x.vec_id, x.n_links, x.component_id, x.kept) for x in vectors.similar_vectors(d, pivots=4, near=4, shared=1).collect()}
     assert exact == want  # every vector names all pivots, so every pair is looked at
     assert vectors.similar_vectors(d.limit(0)).count() == 0
+
+
+def test_vectors_in_dense_clusters(spark):
+    """Recall of pairs by cluster size, against brute force: a third, a tenth and a fiftieth of the rows."""
+    r = np.random.default_rng(8)
+    n, x, cluster = 1500, [], []
+    for k, (size, noise) in enumerate(((n // 3, .27), (n // 10, .25), (n // 50, .22))):
+        c = r.normal(size=64)
+        c /= np.linalg.norm(c)
+        x.append(c + r.normal(size=(size, 64)) * noise / 8)
+        cluster += [k] * size
+    x = np.concatenate([*x, r.normal(size=(n - len(cluster), 64))]).astype(np.float32)
+    cluster = np.array(cluster + [3] * (n - len(cluster)))
+    d = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label string")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= .93).sum(1) - 1
+    got = np.zeros(n, np.int64)
+    for row in vectors.similar_vectors(d, pivots=128).collect():
+        got[row.vec_id] = row.n_links
+    for k in range(3):
+        assert want[cluster == k].sum() > 100 and got[cluster == k].sum() >= .9 * want[cluster == k].sum()
+    assert (got <= want).all()
