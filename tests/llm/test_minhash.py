@@ -70,3 +70,26 @@ def test_components(spark):
     of = groups({n for p in pairs for n in p}, pairs)
     got = {row.id: row.component for row in links.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {n: c for n, c in of.items() if n in got} and {n for p in pairs if p[0] != p[1] for n in p} == set(got)
+
+
+def test_pipeline_stage_at_80(spark):
+    """Copies with similarity in [.80, .85) go in the pipeline's stage, those below .80 stay."""
+    import random
+
+    import corpus_pipeline
+    r = random.Random(2)
+    vocab, docs, want = [f"w{i}" for i in range(3000)], [], set()
+    for i in range(40):
+        words = r.choices(vocab, k=200)
+        for j, changed in enumerate((0, 4) if i % 2 else (0, 5)):
+            other = [*words]
+            for k in range(changed):
+                other[20 + 30 * k] = f"new{i}_{j}_{k}"
+            docs.append((2 * i + j, " ".join(other)))
+        a, b = ({tuple(t.split(" ")[k:k + 5]) for k in range(196)} for _, t in docs[-2:])
+        if 100 * len(a & b) >= 80 * len(a | b):
+            assert 100 * len(a & b) < 85 * len(a | b)
+            want.add(2 * i + 1)
+    assert len(want) == 20
+    kept = {x.doc_id for x in corpus_pipeline.minhash_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()}
+    assert kept == {d for d, _ in docs} - want
