@@ -103,6 +103,14 @@ def test_lines_recall(spark):
     assert tiny and tiny <= found and len(found - copies) <= 1
 
 
+def test_lines_blanks(spark):
+    """Runs of blanks are one space; texts that stay keep theirs."""
+    docs = [(1, "one  two\tthree\nx = 1"), (2, "ONE two \t three\r\nx\t=  1"), (3, "one\x0btwo\f three\nonetwo three"), (4, "a\t\tb")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: (x.removed, x.kept) for x in lines.dedup_lines(d).collect()}
+    assert got == {1: ([], docs[0][1]), 2: ([0, 1], ""), 3: ([0], "onetwo three"), 4: ([], docs[3][1])}
+
+
 def test_urls(spark):
     pages = [(1, "https://WWW.A.net/x"), (2, "http://a.EXAMPLE.net/en/1?q=/de/"), (3, "x://example.com/de/"), (4, "x://notexample.com/de/"), (5, "x://example.com"),
              (6, "y://q.org/fr/#z"), (7, None), (8, "no scheme"), (9, ""), (10, "http://casino.example.org/a/"), (11, "ftp://CASINO.example.org/a?x"), (12, "x://net"),
