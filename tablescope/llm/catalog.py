@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import statements
+from .alignment import op12_tokenizer_alignment
 from .contamination import op6_decontamination
 from .language import op8_language
 from .lines import op10_line_dedup
@@ -20,7 +21,7 @@ from .urls import op7_url_filter
 from .vectors import op9_vector_dedup
 
 OPERATORS = (op1_substring_dedup, op2_quality, op3_suffix_dedup, op4_minhash_dedup, op5_mixing, op6_decontamination, op7_url_filter, op8_language,
-             op9_vector_dedup, op10_line_dedup, op11_token_counts, op13_merkle_manifest)
+             op9_vector_dedup, op10_line_dedup, op11_token_counts, op12_tokenizer_alignment, op13_merkle_manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -85,11 +85,14 @@ class Counter(dict):
         self.pattern, self.unsure = regex.compile(PATTERN), frozenset(vocabulary.unsure)
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.specials))) if vocabulary.specials else None
 
+    def made(self, piece: str) -> int:
+        return len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
+
     def __missing__(self, piece: str) -> int:
-        n = len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
+        made = self.made(piece)
         if len(piece) <= WIDEST and len(self) < self.most:
-            self[piece] = n
-        return n
+            self[piece] = made
+        return made
 
     def _plain(self, text: str) -> int:
         if not text.isascii() and not self.unsure.isdisjoint(text):  # the library's own split
