@@ -22,9 +22,10 @@ _PLACE = (1 << 33) - 1  # bits of monotonically_increasing_id that count inside
 
 def _in_order(df: DataFrame, keys: list[str]) -> DataFrame:
     """The rows sorted by `keys` over numbered partitions, with `__part` and the 1-based place in it, `__at`; written once."""
-    rows = df.count()
+    once = freeze(df)  # counted, sampled and sorted from here, so that what lies before runs once
+    rows = once.count()
     parts = max(1, rows // ROWS, min(rows // 10_000, df.sparkSession.sparkContext.defaultParallelism))
-    run = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    run = once.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE)) + 1
     return freeze(run.select("*", F.spark_partition_id().alias("__part"), place.alias("__at")))
 
@@ -62,12 +63,12 @@ def ordered(df: DataFrame, order: list[str], sums: dict[str, str] | None = None,
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles of `value`, one column per {name: p}, per `within` group.
 
-    Equal values are counted together first. The distinct values are then put in order, and those that cover the
+    Equal values are counted together first, and rows that have a count `__n` already stand for so many. The distinct values are then put in order, and those that cover the
     wanted positions are picked, so no task holds all values of a group.
     """
     within = list(within)
-    data = df.where(F.col(value).isNotNull()).select(*within, F.col(value).cast("double").alias("__v"))
-    counts = data.groupBy(*within, "__v").agg(F.count("*").alias("__n"))
+    many = F.sum("__n") if "__n" in df.columns else F.count("*")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*within, F.col(value).cast("double").alias("__v")).agg(many.alias("__n"))
     run = ordered(counts, ["__v"], {"__upto": "__n"}, within, rank=None)
     if within:
         spread = _beside(run, run.groupBy(*within).agg(F.sum("__n").alias("__total")), within)
@@ -85,9 +86,9 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[s
     return (spread.groupBy(*within) if within else spread).agg(*aggs)
 
 
-def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """(value, avg_rank): the average 1-based rank of each distinct value, ties sharing the mean."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum("__n").alias("__n")) \
-        if "__n" in df.columns else df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    run = ordered(counts, [value], {"__upto": "__n"}, rank=None)
-    return run.select(value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias("avg_rank"))
+def average_ranks(df: DataFrame, value: str, within: list[str] = ()) -> DataFrame:
+    """(*within, value, avg_rank): the average 1-based rank of each distinct value in its group, ties sharing the mean."""
+    many = F.sum("__n") if "__n" in df.columns else F.count("*")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*within, value).agg(many.alias("__n"))
+    run = ordered(counts, [value], {"__upto": "__n"}, list(within), rank=None)
+    return run.select(*within, value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias("avg_rank"))

@@ -1,9 +1,12 @@
 """Statistical tests: sufficient statistics by one Spark aggregate, the closed form on the small result."""
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,22 +15,82 @@ from ..functions import fixed
 from ..functions.expr import col, finite, long_dims, long_metrics, ratio
 from ..functions.ranking import average_ranks, quantiles
 from ..functions.tails import f_upper, p_chi2, p_f, p_t, t_crit, t_two_sided
+from ..session import freeze
 from .headers import readable
 
 
+class Moments:
+    """Means, squares and cross products of every pair of k columns over the rows where both are known, which can be merged.
+
+    At [i, j]: n rows with both; mean and square: mean and centred sum of squares of column i over them; cross: centred cross product.
+    """
+
+    def __init__(self, n: np.ndarray, mean: np.ndarray, square: np.ndarray, cross: np.ndarray) -> None:
+        self.n, self.mean, self.square, self.cross = n, mean, square, cross
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        """Of a batch of rows, NaN where unknown: four matrix products around the columns' own means, so that large ones do not cancel."""
+        known = ~np.isnan(x)
+        origin = np.where(known, x, 0).sum(0) / np.maximum(known.sum(0), 1)
+        z, m = np.where(known, x - origin, 0), known.astype(float)
+        n = m.T @ m
+        some = np.maximum(n, 1)
+        total = z.T @ m
+        return cls(n, np.where(n > 0, origin[:, None] + total / some, 0), (z * z).T @ m - total * total / some, z.T @ z - total * total.T / some)
+
+    def merge(self, o: Moments) -> Moments:
+        """Both sets of rows together, by the distance of their means."""
+        n = self.n + o.n
+        some = np.maximum(n, 1)
+        away = np.where((self.n > 0) & (o.n > 0), o.mean - self.mean, 0)
+        weight = self.n * o.n / some
+        mean = np.where(self.n > 0, self.mean, o.mean) + away * o.n / some
+        return Moments(n, mean, self.square + o.square + away * away * weight, self.cross + o.cross + away * away.T * weight)
+
+    def pack(self) -> bytes:
+        return np.stack([self.n, self.mean, self.square, self.cross]).tobytes()
+
+    @classmethod
+    def unpack(cls, raw: bytes, k: int) -> Moments:
+        return cls(*np.frombuffer(raw).reshape(4, k, k))
+
+
 def pair_moments(df: DataFrame, metrics: list[str]) -> DataFrame:
     """(a, b, n, mean_a, mean_b, sxx, syy, sxy) of every metric pair over the rows where both are known.
 
-    One row per pair and table row, summed map-side with Spark's one-pass centred moments, so large
-    means do not cancel.
+    One scan: each task gathers its rows in one matrix of moments and sends it as one row, whatever the number of pairs; the rows are
+    merged in groups of tasks and then together.
     """
+    k, i_j = len(metrics), list(combinations(range(len(metrics)), 2))
     slim = df.select(*[finite(m).alias(f"m{i}") for i, m in enumerate(metrics)])
-    pairs = [F.struct(F.lit(metrics[i]).alias("a"), F.lit(metrics[j]).alias("b"), F.col(f"m{i}").alias("x"),
-                      F.col(f"m{j}").alias("y")) for i, j in combinations(range(len(metrics)), 2)]
-    both = slim.select(F.inline(F.array(*pairs))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return both.groupBy("a", "b").agg(
-        F.count("*").alias("n"), F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"),
-        F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"))
+
+    def gather(batches):
+        seen = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            if len(x):
+                seen = Moments.of(x) if seen is None else seen.merge(Moments.of(x))
+        if seen is not None:
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "moments": [seen.pack()]}, schema=pa.schema([("part", pa.int64()), ("moments", pa.binary())]))
+
+    def together(table: pa.Table) -> Moments:
+        rows = table.sort_by("part")["moments"].to_pylist()  # in one order, so that sums do not depend on arrival
+        return reduce(Moments.merge, (Moments.unpack(r, k) for r in rows))
+
+    def join(table: pa.Table) -> pa.Table:
+        return pa.table({"part": pa.array([table.sort_by("part")["part"][0].as_py()], pa.int64()), "moments": pa.array([together(table).pack()], pa.binary())})
+
+    def finish(table: pa.Table) -> pa.Table:
+        m = together(table)
+        rows = [(metrics[i], metrics[j], int(m.n[i, j]), m.mean[i, j], m.mean[j, i], max(m.square[i, j], 0.0), max(m.square[j, i], 0.0), m.cross[i, j]) for i, j in i_j if m.n[i, j] > 0]
+        names = ["a", "b", "n", "mean_a", "mean_b", "sxx", "syy", "sxy"]
+        kinds = [pa.string(), pa.string(), pa.int64(), *[pa.float64()] * 5]
+        return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names)
+
+    parts = slim.mapInArrow(gather, "part long, moments binary")
+    joined = parts.groupBy(F.floor(F.col("part") / 256)).applyInArrow(join, "part long, moments binary")
+    return joined.groupBy().applyInArrow(finish, "a string, b string, n long, mean_a double, mean_b double, sxx double, syy double, sxy double")
 
 
 def alike_names(a: str, b: str) -> bool:
@@ -64,12 +127,14 @@ def benjamini_hochberg(tests: DataFrame, p: str, q: float = 0.05, within: list[s
 
 
 def correlations(df: DataFrame, metrics: list[str], bands: tuple[float, float] = (0.7, 0.4),
-                 p_value: bool = True) -> DataFrame:
+                 p_value: bool = True, ranks: bool = False) -> DataFrame:
     """Pearson r of every pair with interval (Fisher z), strength and redundancy; 4 rows or more, no constants.
 
-    `bands` are the limits of strong and moderate.
+    `bands` are the limits of strong and moderate. With `ranks` also spearman, the correlation of the ranks, and nonlinear: it is much the stronger.
     """
-    m = pair_moments(df, metrics).where((F.col("n") >= 4) & (F.col("sxx") > 0) & (F.col("syy") > 0))
+    every = pair_moments(df, metrics)
+    every = freeze(every) if ranks else every
+    m = every.where((F.col("n") >= 4) & (F.col("sxx") > 0) & (F.col("syy") > 0))
     raw = F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))
     x = m.withColumn("r", F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), raw)))
     z, se = F.atanh("r"), 1.96 / F.sqrt(F.col("n") - 3)
@@ -78,35 +143,54 @@ def correlations(df: DataFrame, metrics: list[str], bands: tuple[float, float] =
                    (F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))).alias("t"),
                    F.when(size > bands[0], "strong").when(size > bands[1], "moderate").otherwise("weak").alias("strength"),
                    is_redundant(metrics).alias("redundant"))
+    if ranks:
+        rho = rank_correlations(df, metrics, every).withColumnRenamed("rho", "spearman")
+        out = out.join(rho, ["a", "b"], "left").withColumn("nonlinear", is_nonlinear("spearman", "r"))
     if p_value:
         out = benjamini_hochberg(out.withColumn("p", p_t(F.col("t"), F.col("n") - 2)), "p")
     return out.orderBy(F.desc(F.abs("r")), "a", "b")
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n, rho, r, nonlinear): Pearson of average ranks, ties sharing the mean rank.
+def rank_correlations(df: DataFrame, metrics: list[str], moments: DataFrame | None = None) -> DataFrame:
+    """(a, b, rho): Pearson of average ranks, ties sharing the mean rank, for every pair over the rows where both are known.
 
-    Equal (a, b) pairs are counted before any join, and ranks come from the distinct values only.
+    The values of all columns are ranked in one range exchange over (column, value). A column that is known in other rows than its partner
+    is ranked once more for that pair, over the common rows.
     """
-    pairs = (df.select(finite(a).alias("x"), finite(b).alias("y")).where("x is not null and y is not null")
-             .groupBy("x", "y").agg(F.count("*").alias("__n")))
-    rx = average_ranks(pairs, "x").withColumnRenamed("avg_rank", "rx")
-    ry = average_ranks(pairs, "y").withColumnRenamed("avg_rank", "ry")
-    ranked = pairs.join(rx, "x").join(ry, "y")
-    n = F.col("__n")
-
-    def total(c) -> Column:
-        return F.sum(n * c)
-
-    one = ranked.agg(total(F.lit(1.0)).alias("n"), total(F.col("rx")).alias("sx"), total(F.col("ry")).alias("sy"),
-                     total(F.col("rx") ** 2).alias("sxx"), total(F.col("ry") ** 2).alias("syy"),
-                     total(F.col("rx") * F.col("ry")).alias("sxy"))
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    var = (F.col("sxx") - F.col("sx") ** 2 / F.col("n")) * (F.col("syy") - F.col("sy") ** 2 / F.col("n"))
-    r = pair_moments(df, [a, b]).select((F.col("sxy") / F.nullif(F.sqrt(F.col("sxx") * F.col("syy")), F.lit(0.0))).alias("r"))
-    out = one.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("n").cast("long").alias("n"),
-                     (cov / F.nullif(F.sqrt(var), F.lit(0.0))).alias("rho"), r.scalar().alias("r"))
-    return out.withColumn("nonlinear", (F.abs("rho") - F.abs("r") >= 0.15) & (F.abs("rho") > 0.5))
+    base = freeze(df.select(*[finite(m).alias(f"m{i}") for i, m in enumerate(metrics)]).withColumn("id", F.monotonically_increasing_id()))
+    at = {m: i for i, m in enumerate(metrics)}
+    known = base.agg(*[F.count(f"m{i}").alias(f"m{i}") for i in range(len(metrics))]).first()
+    common = (moments if moments is not None else pair_moments(df, metrics)).select("a", "b", "n").collect()  # one row a pair
+    views, pairs = [(i, None) for i in range(len(metrics))], []
+    for r in common:
+        i, j = at[r["a"]], at[r["b"]]
+        sides = []
+        for x, y in ((i, j), (j, i)):
+            if known[f"m{x}"] != r["n"]:
+                views.append((x, y))
+            sides.append(x if known[f"m{x}"] == r["n"] else len(views) - 1)
+        pairs.append((r["a"], r["b"], *sides))
+    value = [F.col(f"m{x}") if y is None else F.when(F.col(f"m{y}").isNotNull(), F.col(f"m{x}")) for x, y in views]
+    long = base.select("id", F.inline(F.array(*[F.struct(F.lit(v).alias("view"), x.alias("value")) for v, x in enumerate(value)]))).where(F.col("value").isNotNull())
+    ranks = average_ranks(long, "value", ["view"])
+    wide = long.join(ranks, ["view", "value"]).groupBy("id").agg(*[F.max(F.when(F.col("view") == v, F.col("avg_rank"))).alias(f"r{v}") for v in range(len(views))])
+    names = {f"r{x}": f"r{x}" for _, _, *s in pairs for x in s}
+    m = pair_moments(wide, sorted(names, key=lambda c: int(c[1:])))
+    rho = m.select("a", "b", (F.col("sxy") / F.nullif(F.sqrt(F.col("sxx") * F.col("syy")), F.lit(0.0))).alias("rho"))
+    asked = df.sparkSession.createDataFrame([(a, b, f"r{min(x, y)}", f"r{max(x, y)}") for a, b, x, y in pairs], "a string, b string, x string, y string")
+    return asked.join(rho.withColumnsRenamed({"a": "x", "b": "y"}), ["x", "y"]).select("a", "b", "rho")
+
+
+def spearman(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """(a, b, n, rho, r, nonlinear) of every pair; nonlinear: the ranks agree far better than a straight line fits."""
+    m = freeze(pair_moments(df, metrics))
+    r = m.select("a", "b", "n", (F.col("sxy") / F.nullif(F.sqrt(F.col("sxx") * F.col("syy")), F.lit(0.0))).alias("r"))
+    out = r.join(rank_correlations(df, metrics, m), ["a", "b"], "left")
+    return out.select("a", "b", "n", "rho", "r", is_nonlinear("rho", "r").alias("nonlinear"))
+
+
+def is_nonlinear(rho: str, r: str) -> Column:
+    return (F.abs(rho) - F.abs(r) >= 0.15) & (F.abs(rho) > 0.5)
 
 
 def simple_regression(df: DataFrame, x: str, y: str, p_value: bool = True) -> DataFrame:

@@ -53,7 +53,7 @@ def test_correlations_with_gaps(spark):
 def test_spearman_flags_curves(spark):
     x = np.linspace(0, 6, 60)
     pdf = pd.DataFrame({"a": x, "b": np.exp(2.5 * x)})
-    r = K.spearman(spark.createDataFrame(pdf), "a", "b").first()
+    r = K.spearman(spark.createDataFrame(pdf), ["a", "b"]).first()
     assert r["rho"] == pytest.approx(1.0) and r["nonlinear"]
 
 
