@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from ..functions.expr import rnd
 from ..operators import concentration as C
 from ..operators import kpi as K
+from ..operators import profile as P
 from ..operators.timeseries import period_sums
+from ..session import localize
 from .book import Book
 
 book = Book()
@@ -78,24 +80,32 @@ def _(t):
     return rounded(out, {"value": 2, "share": 6, "cum_share": 6})
 
 
-@book.add("g12_analyze_concentration", """with dims as (select 'o_custkey' as dimension, cast(o_custkey as varchar) as key, o_totalprice as v from orders
- union all select 'o_orderstatus', o_orderstatus, o_totalprice from orders union all select 'o_orderpriority', o_orderpriority, o_totalprice from orders
- union all select 'order_day', strftime(o_orderdate, '%Y-%m-%d'), o_totalprice from orders),
-t as (select dimension, key, 'o_totalprice' as metric, sum(v) as value from dims group by 1, 2 union all select dimension, key, 'row count', count(*)::double from dims group by 1, 2),
+_SALES = """o as (select o_orderkey as order_id, o_custkey as customer_id, o_orderstatus as status, o_orderpriority as priority, o_totalprice as sales_amount, o_totalprice / 7 as score_rate,
+  'b' || cast(floor(log2(o_orderkey + 1)) as int) as order_band from orders)"""
+
+
+@book.add("g12_analyze_concentration", f"""with {_SALES}, dims as (select 'customer_id' as dimension, cast(customer_id as varchar) as key, sales_amount as v from o
+ union all select 'priority', priority, sales_amount from o union all select 'order_band', order_band, sales_amount from o),
+t as (select dimension, key, 'sales_amount' as metric, sum(v) as value from dims group by 1, 2 union all select dimension, key, 'row count', count(*)::double from dims group by 1, 2),
 rk as (select *, row_number() over (partition by dimension, metric order by value desc, key) as rank, sum(value) over (partition by dimension, metric) as total, count(*) over (partition by dimension, metric) as n from t),
-p as (select dimension, metric, max(n) as n, sum((2 * (n - rank + 1) - n - 1) * value) / (max(n) * max(total)) as gini from rk group by 1, 2 having max(n) >= 4),
+p as (select dimension, metric, max(n) as n, sum((2 * (n - rank + 1) - n - 1) * value) / (max(n) * max(total)) as gini from rk group by 1, 2 having max(n) >= 4 and max(n) < (select count(*) from o)),
 b as (select *, row_number() over (partition by dimension order by metric = 'row count', gini desc) as r from p)
-select dimension, metric, cast(n as bigint) as "distinct", round(gini, 6) as gini from b where r = 1 and gini >= 0.2 order by gini desc limit 3""")
+select dimension, metric, cast(n as bigint) as "distinct", round(gini, 6) as gini from b where r = 1 and gini >= 0.3 order by gini desc limit 3""")
 def _(t):
-    o = t.orders.withColumn("order_day", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    out = C.analyze(o, ["o_totalprice"], ["o_custkey", "o_orderstatus", "o_orderpriority", "order_day"], least=0.2)
+    """Measures and dimensions are chosen from the profile: a rate is no measure, a status of three values and a key of each row are no dimensions."""
+    o = t.orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
+                        F.col("o_totalprice").alias("sales_amount"), (F.col("o_totalprice") / 7).alias("score_rate"), F.concat(F.lit("b"), F.floor(F.log2(F.col("o_orderkey") + 1)).cast("int").cast("string")).alias("order_band"))
+    prof = localize(P.override_roles(P.profile(o, "orders"), {"customer_id": "identifier", "order_id": "identifier"}))
+    kinds = P.metric_kinds(prof, P.key_metrics(prof))
+    out = C.analyze(o, [r["column"] for r in C.measures(prof, kinds).collect()], [r["column"] for r in C.dimensions(prof).collect()])
     return out.select("dimension", "metric", "distinct", rnd("gini", 6).alias("gini"))
 
 
 _SELLERS = """j as (select * from lineitem join part on l_partkey = p_partkey),
 s as (select 'p_brand' as dimension, p_brand as key, sum(l_extendedprice) as revenue, sum(l_quantity) as units from j group by 2
  union all select 'p_type', p_type, sum(l_extendedprice), sum(l_quantity) from j group by 2
- union all select 'l_returnflag', l_returnflag, sum(l_extendedprice), sum(l_quantity) from j group by 2),
+ union all select 'l_returnflag', l_returnflag, sum(l_extendedprice), sum(l_quantity) from j group by 2
+ union all select 'l_orderkey', l_orderkey::varchar, sum(l_extendedprice), sum(l_quantity) from j group by 2),
 z as (select *, sum(revenue) over (partition by dimension) as tr, sum(units) over (partition by dimension) as tu, count(*) over (partition by dimension) as n,
   row_number() over (partition by dimension order by revenue, key) as i from s),
 g as (select dimension, sum((2 * i - n - 1) * revenue) / (max(n) * max(tr)) as gini, max(n) as n from z group by 1 having max(n) between 2 and 60),
@@ -106,7 +116,7 @@ r as (select dimension, key, revenue, units, tr, tu, n, gini, row_number() over
 @book.add("g13_best_sellers", f"""with {_SELLERS} select dimension, key, round(revenue, 2) as revenue, round(revenue / tr, 6) as revenue_share, units,
   round(units / tu, 6) as unit_share, rr as revenue_rank, ur as units_rank, round(gini, 6) as gini, cast(n as bigint) as "distinct" from r where rr <= 6 or ur <= 6""")
 def _(t):
-    out = C.best_sellers(items(t), ["p_brand", "p_type", "l_returnflag"], "l_extendedprice", "l_quantity")
+    out = C.best_sellers(items(t), ["p_brand", "p_type", "l_returnflag", "l_orderkey"], "l_extendedprice", "l_quantity", identifiers=["l_orderkey"])
     return rounded(out, {"revenue": 2, "revenue_share": 6, "unit_share": 6, "gini": 6})
 
 
@@ -143,11 +153,10 @@ def _(t):
     return K.spark_line(period_sums(t.lineitem, "l_shipdate", "l_extendedprice")).withColumn("value", rnd("value", 2))
 
 
-@book.add("h6_top_performer", f"""with {_SELLERS} select dimension, key, round(revenue / tr, 6) as share from r where rr = 1 and revenue / tr >= 0.01""")
+@book.add("h6_top_performer", f"""with {_SELLERS} select dimension, key, round(revenue / tr, 6) as share from r where rr = 1 and revenue / tr >= 0.15""")
 def _(t):
-    out = C.best_sellers(items(t), ["p_brand", "p_type", "l_returnflag"], "l_extendedprice", "l_quantity")
-    return out.where((F.col("revenue_rank") == 1) & (F.col("revenue_share") >= 0.01)).select(
-        "dimension", "key", rnd("revenue_share", 6).alias("share"))
+    out = C.best_sellers(items(t), ["p_brand", "p_type", "l_returnflag", "l_orderkey"], "l_extendedprice", "l_quantity", identifiers=["l_orderkey"])
+    return K.top_performer(out).withColumn("share", rnd("share", 6))
 
 
 @book.add("h8_metric_kpis", """select 'total-l_quantity' as id, round(sum(l_quantity), 4) as value, .55::double as relevance from lineitem

@@ -102,24 +102,43 @@ def analyze(df: DataFrame, metrics: list[str], dims: list[str], keep: int = 3, l
     return best.where(F.col("gini") >= least).orderBy(F.desc("gini"), "dimension").limit(keep)
 
 
+def measures(profiles: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(table_name, column) of the measures whose concentration means something: additive ones with a positive sum, largest first."""
+    metric = profiles.where((F.col("role") == "metric") & (F.col("sum") > 0))
+    return metric.join(kinds.where("additive").select("table_name", "column"), ["table_name", "column"]).orderBy(F.desc("sum"), "position").select("table_name", "column")
+
+
+def dimensions(profiles: DataFrame, least: int = 4) -> DataFrame:
+    """(table_name, column) of the columns that group rows: dimensions and identifiers of `least` values or more that repeat;
+    dimensions only with at most .6 values for each known row. Fewest values first."""
+    fit = F.col("role").isin("dimension", "identifier") & (F.col("type") != "date") & (F.col("distinct") >= least) & (F.col("distinct") < F.col("rows"))
+    few = (F.col("role") == "identifier") | (F.col("cardinality") <= 0.6)
+    return profiles.where(fit & few).orderBy("distinct", "position").select("table_name", "column")
+
+
 def seller_totals(df: DataFrame, dims: list[str], revenue: str, quantity: str | None) -> DataFrame:
-    """(dimension, key, revenue, units) for all candidate dimensions; negative revenue counts as 0."""
+    """(dimension, key, revenue, units, rows) for all candidate dimensions, NULL keys too; negative revenue counts as 0."""
     base = df.select(*[col(d) for d in dims], F.greatest(F.coalesce(finite(revenue), F.lit(0.0)), F.lit(0.0)).alias("__rev"),
                      (F.coalesce(finite(quantity), F.lit(0.0)) if quantity else F.lit(1.0)).alias("__units"))
-    return (long_dims(base, dims, ["__rev", "__units"]).where(F.col("key").isNotNull()).groupBy("dimension", "key")
-            .agg(F.sum("__rev").alias("revenue"), F.sum("__units").alias("units")))
+    return (long_dims(base, dims, ["__rev", "__units"]).groupBy("dimension", "key")
+            .agg(F.sum("__rev").alias("revenue"), F.sum("__units").alias("units"), F.count("*").alias("rows")))
 
 
 def best_sellers(df: DataFrame, dims: list[str], revenue: str, quantity: str | None = None, max_values: int = 60,
-                 top: int = 6) -> DataFrame:
+                 top: int = 6, identifiers: list[str] = ()) -> DataFrame:
     """Top values by revenue and by units of the dimension whose revenue is most concentrated.
 
-    Dimensions with 2 to `max_values` values compete; the one with the highest Gini is shown.
+    Dimensions with 2 to `max_values` values compete, and at most one for every two rows; those that are no `identifiers` with at most .6
+    values for each known row. The one with the highest Gini is shown.
     """
-    totals = seller_totals(df, dims, revenue, quantity)
-    sizes = totals.groupBy("dimension").agg(F.count("*").alias("distinct"), F.sum("revenue").alias("total_revenue"),
-                                            F.sum("units").alias("total_units"))
-    fit = sizes.where(F.col("distinct").between(2, max_values) & (F.col("total_revenue") > 0))
+    every = seller_totals(df, dims, revenue, quantity)
+    known = F.col("key").isNotNull()
+    sizes = every.groupBy("dimension").agg(F.count_if(known).alias("distinct"), F.sum("rows").alias("all_rows"), F.sum(F.when(known, F.col("rows"))).alias("known_rows"),
+                                           F.sum(F.when(known, F.col("revenue"))).alias("total_revenue"), F.sum(F.when(known, F.col("units"))).alias("total_units"))
+    repeats = (F.col("distinct") <= F.greatest(F.lit(2.0), F.col("all_rows") * 0.5)) & (
+        F.col("dimension").isin(*identifiers) | (F.col("distinct") <= 0.6 * F.col("known_rows")))
+    fit = sizes.where(F.col("distinct").between(2, max_values) & (F.col("total_revenue") > 0) & repeats)
+    totals = every.where(known).drop("rows")
     small = totals.join(F.broadcast(fit), "dimension")  # at most `max_values` rows per dimension from here on
     up = Window.partitionBy("dimension").orderBy("revenue", "key")
     placed = small.withColumn("__i", F.row_number().over(up))

@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-FACT_LIMIT = 20
-
 
 def _confidence(p: Column) -> Column:
     return F.when(p < 0.01, "high").when(p < 0.05, "medium").otherwise("low")
@@ -30,7 +28,7 @@ def _ranked(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
-def build_facts(frames: dict[str, DataFrame]) -> DataFrame:
+def build_facts(frames: dict[str, DataFrame], limit: int = 20) -> DataFrame:
     """(dataset_key, kind, subject, value, evidence, priority, confidence) from result frames, each with a dataset_key.
 
     Frames are optional: kpis, best_sellers, pareto, trend, swing, forecast, drivers, gaps, correlations,
@@ -89,7 +87,7 @@ def build_facts(frames: dict[str, DataFrame]) -> DataFrame:
     if (x := take("quality")) is not None:
         weak = x.where("rating <> 'good' or duplicates > 0 or completeness < 0.98")
         out.append(_fact(weak, "quality", 15, F.col("rating"), F.col("score"), _evidence("duplicates", "completeness")))
-    return _ranked(reduce(DataFrame.unionByName, out), FACT_LIMIT, F.asc("priority"), F.asc("subject"))
+    return _ranked(reduce(DataFrame.unionByName, out), limit, F.asc("priority"), F.asc("subject"))
 
 
 def build_actions(frames: dict[str, DataFrame], keep: int = 5) -> DataFrame:

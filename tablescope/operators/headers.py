@@ -29,6 +29,10 @@ def is_price_like(name: Column, semantic_type: Column) -> Column:
     return ((semantic_type == "currency") | n.rlike(fixed.UNIT_PRICE_NAME)) & ~n.rlike(fixed.ATTRIBUTE_NAME)
 
 
+def is_cost(name: Column) -> Column:
+    return readable(name).rlike(fixed.COST_NAME)
+
+
 def is_rate_like(name: Column) -> Column:
     return readable(name).rlike(fixed.RATE_NAME)
 

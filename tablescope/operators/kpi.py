@@ -45,6 +45,11 @@ def sales_kpis(df: DataFrame, revenue: str, quantity: str | None = None, cost: s
             .orderBy(F.desc("relevance"), "id"))
 
 
+def top_performer(sellers: DataFrame, least: float = 0.15) -> DataFrame:
+    """(dimension, key, share) of the best seller by revenue where it carries `least` of the whole."""
+    return sellers.where((F.col("revenue_rank") == 1) & (F.col("revenue_share") >= least)).select("dimension", "key", F.col("revenue_share").alias("share"))
+
+
 def month_trend(months: DataFrame) -> DataFrame:
     """Relative change of the last full month: against 12 months earlier when there are more than 12, else the first."""
     trimmed = trim_partial_tail(months)
@@ -62,12 +67,13 @@ def spark_line(months: DataFrame, points: int = 40) -> DataFrame:
     return trim_partial_tail(months).orderBy(F.desc("period")).limit(points).select("label", "value")
 
 
-def metric_kpis(metrics: DataFrame) -> DataFrame:
-    """Totals of additive metrics and averages of rates, from (metric, sum, mean, additive, rate_like, money)."""
+def metric_kpis(metrics: DataFrame, has_revenue: bool = True) -> DataFrame:
+    """Totals of additive metrics and averages of rates, from (metric, sum, mean, additive, rate_like, money); without a revenue metric
+    averages of all others too."""
     total = F.col("additive")
-    average = ~F.col("additive") & F.col("rate_like")
+    average = ~F.col("additive") & (F.col("rate_like") | F.lit(not has_revenue))
     value = F.when(total, F.col("sum")).when(average, F.col("mean"))
-    relevance = F.when(total & F.col("money"), 0.7).when(total, 0.55).when(average, 0.62)
+    relevance = F.when(total & F.col("money"), 0.7).when(total, 0.55).when(average & F.col("rate_like"), 0.62).when(average, 0.4)
     return metrics.where(total | average).select(
         F.concat(F.when(total, "total-").otherwise("average-"), F.col("metric")).alias("id"),
         value.alias("value"), relevance.alias("relevance"))

@@ -73,12 +73,12 @@ def period_sums(df: DataFrame, time: str, metric: str, cadence: str = "monthly",
     return by.withColumn("label", period_label(F.col("period"), cadence))
 
 
-def metric_period_sums(df: DataFrame, time: str, metrics: list[str], cadence: str = "monthly") -> DataFrame:
-    """Period frame with one series per metric, in one shuffle."""
+def metric_period_sums(df: DataFrame, time: str, metrics: list[str], cadence: str = "monthly", averaged: list[str] = ()) -> DataFrame:
+    """Period frame with one series per metric, in one shuffle; metrics in `averaged` (rates, ages) by their mean."""
     kept = df.where(col(time).isNotNull()).withColumn("__period", period_start(time, cadence))
     long = long_metrics(kept, metrics, ["__period"])
-    by = long.groupBy("metric", F.col("__period").alias("period")).agg(
-        F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"), F.count("*").alias("n"))
+    value = F.when(F.col("metric").isin(*averaged), F.avg("value")).otherwise(F.coalesce(F.sum("value"), F.lit(0.0)))
+    by = long.groupBy("metric", F.col("__period").alias("period")).agg(value.alias("value"), F.count("*").alias("n")).where("value is not null")
     return by.withColumn("label", period_label(F.col("period"), cadence))
 
 

@@ -8,7 +8,10 @@ from ..operators import concentration, forecast, grouping, stats, timeseries
 from ..sources.samples import scatter_points
 
 
-def line(df: DataFrame, time: str, metric: str, cadence: str = "monthly") -> DataFrame:
+def line(df: DataFrame, time: str, metric: str | None, cadence: str = "monthly") -> DataFrame:
+    """(label, value): a metric by period, or the number of rows without one."""
+    if metric is None:
+        df, metric = df.withColumn("__rows", F.lit(1.0)), "__rows"
     return timeseries.trim_partial_tail(timeseries.period_sums(df, time, metric, cadence)).select("label", "value")
 
 
@@ -39,14 +42,15 @@ def build(df: DataFrame, kind: str, x: str, y: str | None = None, agg: str = "su
     if kind == "pie":
         return pie(df, x, y)
     if kind == "line":
-        return line(df, x, y)
+        return line(df, x, y, timeseries.detect_cadence(df, x))
     if kind == "bar":
         return bar(df, x, y, agg)
     raise ValueError(f"unknown chart {kind!r}")
 
 
-def recommend(df: DataFrame, metrics: list[str], dims: list[str], time: str | None, revenue: str | None) -> dict[str, DataFrame]:
-    """Frames worth drawing for a table with these roles."""
+def recommend(df: DataFrame, metrics: list[str], dims: list[str], time: str | None, revenue: str | None, strongest: tuple[str, str] | None = None,
+              order: list[str] | None = None) -> dict[str, DataFrame]:
+    """Frames worth drawing for a table with these roles: `dims` of 2 to 25 values; `strongest` is the pair of metrics to scatter."""
     out: dict[str, DataFrame] = {}
     main = revenue or (metrics[0] if metrics else None)
     if time and main:
@@ -57,8 +61,10 @@ def recommend(df: DataFrame, metrics: list[str], dims: list[str], time: str | No
         out["bar"] = bar(df, dims[0], main)
     if main:
         out["histogram"] = grouping.histogram(df, main, bins=12, min_rows=20)
-    for d in dims[:2]:
+    for d in dims:
         out[f"frequency_{d}"] = grouping.count_by(df, d)
     if len(metrics) > 1:
         out["heatmap"] = stats.relationships(df, metrics)
+    if strongest:
+        out["scatter"] = scatter_points(df, *strongest, order)
     return out
