@@ -25,34 +25,49 @@ def norm(line):
 
 
 def parts_of(line):
-    """Words and runs of a line, as far as it has windows of them; the SimHash is of the first that is there."""
     words = line.split(" ")
-    padded = f" {line} "
-    runs = [padded[i:i + 4] for i in range(len(padded) - 3)]
-    return words if len(words) >= 12 else None, runs if len(words) < 24 else None
+    padded = f"  {line}  "
+    return words if len(words) >= 12 else [padded[i:i + 4] for i in range(len(padded) - 3)]
 
 
 def blocks_by_definition(spark, norms):
     """SimHash and block keys of each line, from Spark's hashes of single parts."""
-    every = sorted({p for n in norms for x in parts_of(n) if x for p in x})
-    rows = spark.createDataFrame([(p,) for p in every], "p string").select("p", F.xxhash64("p").alias("x"), F.pmod(F.xxhash64("p", F.lit(3)), F.lit(32)).alias("m")).collect()
-    hashed, chosen = {r.p: r.x & (2**64 - 1) for r in rows}, {r.p for r in rows if r.m == 0}
+    every = sorted({p for n in norms for p in parts_of(n)})
+    hashed = {r.p: r.x & (2**64 - 1) for r in spark.createDataFrame([(p,) for p in every], "p string").select("p", F.xxhash64("p").alias("x")).collect()}
     sims, keys = {}, {}
     for n in norms:
-        words, runs = parts_of(n)
-        hs = [hashed[p] for p in (words or runs)]
-        keys[n] = {(2, n[:i] + n[i + 1:]) for i in range(len(n))} | {(2, n)} if len(n) <= 9 else set()
-        for kind, x in enumerate((words, runs)):
-            for i in range(len(x) - 7 if x else 0):
-                if i in (0, len(x) - 8) or x[i] in chosen:
-                    keys[n].add((kind, *x[i:i + 8]))
-        if hs:
-            sims[n] = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hs) > len(hs))
-            pieces = [sims[n] >> 16 * i & 0xFFFF for i in range(4)]
-            keys[n] |= {("sim", i, j, pieces[i], pieces[j]) for i in range(4) for j in range(i)}
+        hs, words = [hashed[p] for p in parts_of(n)], n.split(" ")
+        if len(hs) >= 8192:
+            sims[n], keys[n] = None, set()
+            continue
+        sims[n] = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hs) > len(hs))
+        pieces = [sims[n] >> 16 * i & 0xFFFF for i in range(4)]
+        keys[n] = {("sim", i, j, pieces[i], pieces[j]) for i in range(4) for j in range(i)}
+        if len(n) <= 9:
+            keys[n] |= {("part", n[:i] + n[i + 1:]) for i in range(len(n))} | {("part", n)}
+        elif len(n) > 12 and len(words) < 12:
+            keys[n] |= {("first", n[:12]), ("last", n[-12:]), ("part", n[(len(n) - 12) // 2:][:12])}
+        elif len(words) >= 12:
+            keys[n] |= {(k, *words[:8 * k][-8:]) for k in (1, 2, 3)} | {(-k, *words[-8 * k:][:8]) for k in (1, 2, 3)}
     return sims, keys
 
 
+def test_simhash_by_definition(spark):
+    r = random.Random(1)
+    norms = sorted({" ".join(f"w{r.randrange(50)}" for _ in range(k)) for k in (1, 3, 11, 12, 13, 31, 32, 33, 63, 64, 200, 8191, 8192, 9000)} | {"w1 " * 8190 + "w1", "w2 " * 30 + "w2", "a"})
+    d = spark.createDataFrame(list(enumerate(norms)), "doc_id long, text string").withColumn("mark", F.lit(0))
+    got = {norms[x.doc_id]: x.sim for x in lines._read(d).collect()}
+    want, _ = blocks_by_definition(spark, norms)
+    assert {n: None if x is None else x & (2**64 - 1) for n, x in got.items()} == want and None in want.values()
+
+
+def edits(a, b):
+    """Edit distance as the operator counts it, and the length to compare it with."""
+    x, y = a.split(" "), b.split(" ")
+    x, y = (x, y) if min(len(x), len(y)) >= 32 else (a, b)
+    return distance(x, y), max(len(x), len(y))
+
+
 def test_lines(spark):
     r = random.Random(9)
     vocab = [f"wört{i}" for i in range(200)]
@@ -74,9 +89,12 @@ def test_lines(spark):
     for i, a in enumerate(norms):
         for b in norms[:i]:
             n = max(len(a), len(b))
-            if min(len(a), len(b)) >= .8 * n and (n > 10_000 or distance(a, b) <= .2 * n):
+            if None in (sim[a], sim[b]) or min(len(a), len(b)) < .8 * n:
+                continue
+            away, size = edits(a, b)
+            if 5 * away <= size:
                 linked += 1
-                if keys[a] & keys[b] and (n <= 50 or (sim[a] ^ sim[b]).bit_count() <= 22):
+                if keys[a] & keys[b] and (n <= 50 or (sim[a] ^ sim[b]).bit_count() <= 18):
                     links.append((norms.index(a), norms.index(b)))
     of = groups(range(len(norms)), links)
     group = {n: of[i] for i, n in enumerate(norms)}
