@@ -7,7 +7,8 @@ from ..functions.expr import rnd
 from ..operators import grouping as G
 from ..operators import relational as R
 from ..operators.timeseries import month_by_segment
-from ..sources import readers
+from ..session import new_path
+from ..sources import readers, sinks
 from .book import Book
 
 book = Book()
@@ -30,6 +31,43 @@ def _(t):
                        parsed[0].cast("double").alias("first_value"))
 
 
+_ORDERS_TEXT = """select o_orderkey::varchar as order_key, o_orderstatus as status, case when o_orderkey % 3 = 0 then null else 'a "' || o_orderpriority || '", ' || o_orderstatus end as note,
+ strftime(o_orderdate, '%Y-%m-%d') as day from orders"""
+
+
+def _orders_text(t):
+    o, day = t.orders, F.date_format("o_orderdate", "yyyy-MM-dd")
+    note = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit('a "'), "o_orderpriority", F.lit('", '), "o_orderstatus"))
+    return o.select(F.col("o_orderkey").cast("string").alias("order_key"), F.col("o_orderstatus").alias("status"), note.alias("note"), day.alias("day"))
+
+
+@book.add("a1_read_csv", _ORDERS_TEXT)
+def _(t):
+    """All orders written as delimited text with quotes, separators and empty cells, and read back as text."""
+    path = new_path(t.spark, "csv")
+    sinks.write_csv(_orders_text(t), path)
+    return readers.read_delimited(t.spark, path)
+
+
+@book.add("a2_read_tsv", "select o_orderkey, o_orderstatus, o_totalprice from orders")
+def _(t):
+    """Tab-separated, types inferred."""
+    path = new_path(t.spark, "tsv")
+    sinks.write_csv(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), path, sep="\t")
+    out = readers.read_delimited(t.spark, path, sep="\t", infer=True)
+    return out.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+
+
+@book.add("a3_read_json", """select o_custkey, '{"n":' || count(*) || ',"last":' || max(o_orderkey) || '}' as facts, to_json(list(o_orderkey order by o_orderkey))::varchar as keys from orders group by o_custkey""")
+def _(t):
+    """Records with nested values written as JSON lines and read back, nested values as JSON text."""
+    path = new_path(t.spark, "json")
+    t.orders.groupBy("o_custkey").agg(F.struct(F.count("*").alias("n"), F.max("o_orderkey").alias("last")).alias("facts"), F.sort_array(F.collect_list("o_orderkey")).alias("keys")).write.json(path)
+    out = readers.read_json(t.spark, path)
+    parsed = F.from_json("facts", "n long, last long")
+    return out.select("o_custkey", F.to_json(parsed).alias("facts"), "keys")
+
+
 @book.add("a5_choose_source", """select name, cast(n as bigint) as n_rows, n = max(n) over () as chosen from (
   select 'orders' as name, count(*) as n from orders union all select 'lineitem', count(*) from lineitem
   union all select 'part', count(*) from part union all select 'customer', count(*) from customer
@@ -71,6 +109,15 @@ def _(t):
     return R.page(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 2)
 
 
+@book.add("e3_deep_page", """select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey, l_suppkey
+  limit 50 offset (select 50 * (count(*) // 50 * 9 // 10) from lineitem)""")
+def _(t):
+    """The page at nine tenths of all line items by price."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")
+    order = [F.desc("l_extendedprice"), *map(F.asc, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])]
+    return R.deep_page(li, order, li.count() // 50 * 9 // 10, 50).drop("l_partkey", "l_suppkey")
+
+
 @book.add("e4_sort_by_time", "select o_orderkey, o_orderdate from orders order by o_orderdate, o_orderkey")
 def _(t):
     return R.by_time(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")

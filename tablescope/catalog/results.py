@@ -101,6 +101,39 @@ def _(t):
     return charts.stacked(t.lineitem, "l_returnflag", "l_linestatus", None)
 
 
+@book.add("p2_line_and_bar", """select 'line' as chart, strftime(p, '%Y-%m') as key, n::double as value from (select p, n, row_number() over (order by p) as i, count(*) over () as c from
+  (select date_trunc('month', o_orderdate) as p, count(*) as n from orders group by 1)) q where not (i = c and c >= 4 and n < .5 * (select median(n) from (select count(*) as n, date_trunc('month', o_orderdate) as p from orders group by 2) r where r.p < q.p))
+ union all select 'bar', o_orderpriority, round(avg(o_totalprice), 4) from orders group by 2 union all (select 'count', o_orderstatus, count(*)::double from orders group by 2)""")
+def _(t):
+    """A line of row counts in the table's own cadence, bars of means and of counts."""
+    o = t.orders.withColumn("month", F.date_trunc("month", "o_orderdate").cast("date"))
+    parts = [("line", charts.build(o, "line", "month").select(F.col("label").alias("key"), "value")), ("bar", charts.build(o, "bar", "o_orderpriority", "o_totalprice", "mean")), ("count", charts.build(o, "bar", "o_orderstatus"))]
+    return reduce(DataFrame.unionByName, [x.select(F.lit(n).alias("chart"), "key", rnd("value", 4).alias("value")) for n, x in parts])
+
+
+@book.add("p1_strongest_scatter", "select l_discount as x, l_extendedprice * l_discount as y, count(*) as n from lineitem group by 1, 2")
+def _(t):
+    """All points of the most strongly related pair of metrics, which the correlations choose; equal points are counted."""
+    li = t.lineitem.withColumn("saving", F.col("l_extendedprice") * F.col("l_discount"))
+    pair = stats.strongest_pair(li, ["l_quantity", "saving", "l_discount", "l_tax"], least=0.0).first()
+    a, b = sorted((pair["a"], pair["b"]))
+    return li.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n"))
+
+
+@book.add("p4_statistics_specs", """select 'correlation' as question, 'l_quantity ~ l_extendedprice' as key, round(corr(l_quantity, l_extendedprice), 6) as value from lineitem
+ union all select 'welch', 'A N', round((avg(l_quantity) filter (l_returnflag = 'A') - avg(l_quantity) filter (l_returnflag = 'N')) / sqrt(var_samp(l_quantity) filter (l_returnflag = 'A') / count(*) filter (l_returnflag = 'A') + var_samp(l_quantity) filter (l_returnflag = 'N') / count(*) filter (l_returnflag = 'N')), 6) from lineitem
+ union all select 'frequency', l_returnflag, count(*)::double from lineitem group by 2
+ union all select 'outliers', 'squared', count(*)::double from (select pow(value, 2) as v from events) where abs(v - (select avg(pow(value, 2)) from events)) >= 3 * (select stddev_samp(pow(value, 2)) from events)""")
+def _(t):
+    """Correlation, significance, distribution and outliers as structured questions."""
+    li, ev = t.lineitem, t.events.withColumn("squared", F.col("value") * F.col("value"))
+    parts = [run_spec(li, QuerySpec("correlation", metric="l_quantity", metric2="l_extendedprice")).select(F.lit("correlation").alias("question"), F.concat_ws(" ~ ", "a", "b").alias("key"), F.col("r").alias("value")),
+             run_spec(li, QuerySpec("significance", metric="l_quantity", dimension="l_returnflag", compare=("A", "N"))).select(F.lit("welch").alias("question"), F.lit("A N").alias("key"), F.col("t").alias("value")),
+             run_spec(li, QuerySpec("distribution", dimension="l_returnflag")).select(F.lit("frequency").alias("question"), "key", F.col("n").cast("double").alias("value")),
+             run_spec(ev, QuerySpec("outliers", metric="squared")).select(F.lit("outliers").alias("question"), F.col("metric").alias("key"), F.col("count").cast("double").alias("value"))]
+    return reduce(DataFrame.unionByName, parts).withColumn("value", rnd("value", 6))
+
+
 _SPECS = [
     ("total", QuerySpec("aggregate", metric="l_extendedprice"), None),
     ("mean discount of R", QuerySpec("metric", metric="l_discount", additive=False, filter=("l_returnflag", "eq", "R")), None),

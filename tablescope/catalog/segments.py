@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import rnd
 from ..operators import segment as M
+from ..session import new_path
+from ..sources import sinks
 from .book import Book
 from .concentration import rounded
 
@@ -79,4 +81,6 @@ def _(t):
 @book.add("a10_segment_worklist", f"with {_RFM} select entity, round(monetary, 2) as monetary from g where segment = 'at-risk'")
 def _(t):
     out = M.rfm_members(t.orders, "o_custkey", "o_orderdate", "o_totalprice")
-    return out.where(F.col("segment") == "at-risk").select("entity", rnd("monetary", 2).alias("monetary"))
+    path = new_path(t.spark, "members")
+    sinks.write_members(out, path, "segment")
+    return t.spark.read.parquet(path).where(F.col("segment") == "at-risk").select("entity", rnd("monetary", 2).alias("monetary"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, finite, ratio
+from ..session import new_path
 from ..functions.tails import p_t
 
 
@@ -37,10 +38,35 @@ def search(df: DataFrame, text: str) -> DataFrame:
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int = 10) -> DataFrame:
-    """One page of a sorted table."""
+    """One of the first pages of a sorted table: a task gathers all rows up to its end. For later ones see `deep_page`."""
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
+def deep_page(df: DataFrame, order: list[Column], number: int, size: int = 10, rows: int = 1_000_000) -> DataFrame:
+    """A page far down a sorted table, for an order that ties no two rows.
+
+    The range exchange deals the rows to numbered partitions of about `rows` rows, which are written sorted, one folder each. Their sizes tell
+    which of them hold the page; only those are read, and no task gathers what lies before it.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, "pages")
+    parts = max(1, df.count() // rows, spark.sparkContext.defaultParallelism)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_ = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    numbered = sorted_.withColumns({"__part": F.spark_partition_id(), "__at": place})
+    numbered.write.partitionBy("__part").parquet(path)
+    written = spark.read.schema(numbered.schema).parquet(path)
+    before, held, start = 0, {}, number * size
+    for r in written.groupBy("__part").count().orderBy("__part").collect():  # one row a partition
+        if before < start + size and before + r["count"] > start:
+            held[r["__part"]] = before
+        before += r["count"]
+    if not held:
+        return df.limit(0)
+    offset = F.create_map(*[F.lit(x) for pair in held.items() for x in pair])
+    found = written.where(F.col("__part").isin(*held)).withColumn("__row", F.col("__at") + offset[F.col("__part")])
+    return found.where(F.col("__row").between(start, start + size - 1)).orderBy("__row").select(*df.columns)
+
+
 def by_time(df: DataFrame, time: str, tiebreak: str) -> DataFrame:
     """Chronological order, rows without a time last."""
     return df.orderBy(col(time).asc_nulls_last(), col(tiebreak))

@@ -2,11 +2,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -17,56 +15,108 @@ from ..session import freeze
 from .timeseries import period_label, period_start
 
 
+SAMPLE, STARTS = 4096, 8  # rows that the first centres are sought on, and tries
+
+
 @dataclass
 class Clusters:
-    model: KMeansModel
+    """Centres of the standardised features, largest cluster first, and (mean, deviation) of each feature."""
+
+    centres: list[list[float]]
     features: list[str]
     scale: dict[str, tuple[float, float]]
-    k: int
+
+    @property
+    def k(self) -> int:
+        return len(self.centres)
 
     def scored(self, df: DataFrame) -> DataFrame:
-        return _vector(df, self.scale)
+        """Rows with their standardised features `__z0`, `__z1`, … and the number of the nearest centre, `cluster`."""
+        return _standardised(df, self.scale).withColumn("cluster", _nearest(len(self.features), self.centres)[0])
 
 
-def _vector(df: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
+def _standardised(df: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
     """Rows with their standardised features; a missing value counts as the mean."""
     z = [F.coalesce((finite(c) - F.lit(m)) / F.lit(s), F.lit(0.0)).alias(f"__z{i}") for i, (c, (m, s)) in enumerate(scale.items())]
-    wide = df.select("*", *z)
-    names = [f"__z{i}" for i in range(len(scale))]
-    return VectorAssembler(inputCols=names, outputCol="__features").transform(wide).drop(*names)
-
-
-def fit_clusters(df: DataFrame, metrics: list[str], seed: int = 1234567, min_rows: int = 24) -> Clusters | None:
+    return df.select("*", *z)
+
+
+def _nearest(features: int, centres: list[list[float]]) -> tuple[Column, Column]:
+    """The number of the nearest centre, the first of several, and the squared distance to it."""
+    away = F.array(*[reduce(lambda a, b: a + b, [(F.col(f"__z{i}") - c[i]) * (F.col(f"__z{i}") - c[i]) for i in range(features)]) for c in centres])
+    return (F.array_position(away, F.array_min(away)) - 1).cast("int"), F.array_min(away)
+
+
+def _first_centres(points: np.ndarray, k: int) -> np.ndarray:
+    """Centres of a sample: farthest points from several first ones, moved to the means of their groups; the tightest of them."""
+    best, least = points[:1], np.inf
+    for start in range(min(STARTS, len(points))):
+        chosen = [points[start]]
+        while len(chosen) < k:
+            chosen.append(points[np.argmax(np.min([((points - c) ** 2).sum(1) for c in chosen], axis=0))])
+        centres = np.array(chosen)
+        for _ in range(50):
+            away = ((points[:, None] - centres[None]) ** 2).sum(2)
+            home = away.argmin(1)
+            moved = np.array([points[home == j].mean(0) if (home == j).any() else centres[j] for j in range(k)])
+            if np.abs(moved - centres).max() < 1e-9:
+                break
+            centres = moved
+        cost = away.min(1).sum()
+        if cost < least * (1 - 1e-9):
+            best, least = centres, cost
+    return best
+
+
+def fit_clusters(df: DataFrame, metrics: list[str], min_rows: int = 24, steps: int = 30, tolerance: float = 1e-4) -> Clusters | None:
     """k-means on the standardised metrics with spread; 2 groups, or 3 or 4 where each step cuts the cost by 20%.
 
-    All rows are used. None with fewer than 24 rows or 2 metrics.
+    First centres come from the `SAMPLE` rows with the smallest hash of their values; from there all rows decide, with one aggregate a step for
+    the three numbers of groups together. Nothing depends on the partitioning: centres are rounded to 9 digits, clusters numbered by size.
+    None with fewer than `min_rows` rows or 2 metrics.
     """
     one = df.agg(F.count("*").alias("n"), *[F.struct(F.avg(finite(m)), F.stddev_samp(finite(m))).alias(f"s{i}")
                                             for i, m in enumerate(metrics)]).first()
-    scale = {m: (one[f"s{i}"][0], one[f"s{i}"][1]) for i, m in enumerate(metrics) if one[f"s{i}"][1]}
+    scale = {m: (float(f"{one[f's{i}'][0]:.12g}"), float(f"{one[f's{i}'][1]:.12g}")) for i, m in enumerate(metrics) if one[f"s{i}"][1]}
     if one["n"] < min_rows or len(scale) < 2:
         return None
-    data = _vector(df, scale).select("__features").persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for k in (2, 3, 4):
-        model = KMeans(k=k, seed=seed, maxIter=30, featuresCol="__features", predictionCol="cluster").fit(data)
-        if best is not None and model.summary.trainingCost >= 0.8 * best.summary.trainingCost:
+    m, names = len(scale), [f"__z{i}" for i in range(len(scale))]
+    data = freeze(_standardised(df, scale).select(*names))
+    some = data.orderBy(F.xxhash64(*names), *names).limit(SAMPLE).collect()
+    centres = {k: np.round(_first_centres(np.array(some), k), 9) for k in (2, 3, 4)}
+    cost, size, moving = {}, {}, [2, 3, 4]
+    for _ in range(steps):
+        sums = []
+        for k in moving:
+            home, away = _nearest(m, centres[k].tolist())
+            sums.append(F.sum(away).alias(f"cost{k}"))
+            for j in range(k):
+                sums += [F.count_if(home == j).alias(f"n{k}_{j}"), *[F.sum(F.when(home == j, F.col(z))).alias(f"s{k}_{j}_{i}") for i, z in enumerate(names)]]
+        row, still = data.agg(*sums).first(), []
+        for k in moving:
+            cost[k], size[k] = row[f"cost{k}"], [row[f"n{k}_{j}"] for j in range(k)]
+            moved = np.round([[row[f"s{k}_{j}_{i}"] / size[k][j] for i in range(m)] if size[k][j] else centres[k][j] for j in range(k)], 9)
+            if np.abs(moved - centres[k]).max() > tolerance:
+                centres[k] = moved
+                still.append(k)
+        moving = still
+        if not moving:
             break
-        best = model
-    data.unpersist()
-    return Clusters(best, list(scale), scale, best.getK())
+    k = 2
+    while k < 4 and cost[k + 1] < 0.8 * cost[k]:
+        k += 1
+    order = sorted(range(k), key=lambda j: (-size[k][j], centres[k][j].tolist()))
+    return Clusters([centres[k][j].tolist() for j in order], list(scale), scale)
 
 
 def cluster_members(df: DataFrame, clusters: Clusters) -> DataFrame:
     """Every row with its cluster."""
-    return clusters.model.transform(clusters.scored(df)).drop("__features")
+    return clusters.scored(df).drop(*[f"__z{i}" for i in range(len(clusters.features))])
 
 
 def cluster_summary(df: DataFrame, clusters: Clusters) -> DataFrame:
     """(cluster, size, share, traits): traits are the up to 3 features furthest from the mean (over .25 deviations)."""
-    scored = clusters.model.transform(clusters.scored(df)).withColumn("__z", vector_to_array("__features"))
-    by = scored.groupBy("cluster").agg(F.count("*").alias("size"), *[
-        F.avg(F.col("__z")[i]).alias(f"z{i}") for i in range(len(clusters.features))])
+    by = clusters.scored(df).groupBy("cluster").agg(F.count("*").alias("size"), *[F.avg(f"__z{i}").alias(f"z{i}") for i in range(len(clusters.features))])
     traits = F.array(*[F.struct((-F.abs(f"z{i}")).alias("o"), F.lit(c).alias("feature"), F.col(f"z{i}").alias("z"))
                        for i, c in enumerate(clusters.features)])
     strong = F.slice(F.array_sort(F.filter(traits, lambda x: F.abs(x.z) > 0.25)), 1, 3)

@@ -305,13 +305,18 @@ def group_moments(df: DataFrame, dims: list[str], metrics: list[str]) -> DataFra
     return wide.select("dimension", "key", F.inline(F.array(*[F.col(f"s{i}") for i in range(len(metrics))])))
 
 
-def anova(groups: DataFrame, p_value: bool = True) -> DataFrame:
-    """One-way analysis of variance per (dimension, metric) from group moments; groups of one row are left out."""
+def anova(groups: DataFrame, p_value: bool = True, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """One-way analysis of variance per (dimension, metric) from group moments; groups of one row are left out.
+
+    With `sizes` only dimensions of so many groups. Their number and the grand mean come first, by a grouping that keeps one row a pair, so the groups
+    of a wide dimension never meet in a task.
+    """
     g = groups.where(F.col("n") >= 2)
-    w = Window.partitionBy("dimension", "metric")
-    grand = F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w)
+    grand = g.groupBy("dimension", "metric").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.count("*").alias("groups"))
+    if sizes:
+        grand = grand.where(F.col("groups").between(*sizes))
     top, bottom = F.struct("mean", "key"), F.struct("mean", "key")
-    one = g.withColumn("grand", grand).groupBy("dimension", "metric").agg(
+    one = g.join(grand.drop("groups"), ["dimension", "metric"]).groupBy("dimension", "metric").agg(
         F.count("*").alias("groups"), F.sum("n").alias("rows"), F.sum("ss").alias("within"),
         F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("between"),
         F.max_by("key", top).alias("top"), F.max("mean").alias("top_mean"), F.min_by("key", bottom).alias("bottom"),
@@ -331,7 +336,7 @@ def value_tautology(metric: Column, dimension: Column) -> Column:
 
 def group_comparisons(df: DataFrame, dims: list[str], metrics: list[str], top: int = 4) -> DataFrame:
     """Which group differences are real: analysis of variance for every dimension of 2 to 20 values and every metric."""
-    tests = anova(group_moments(df, dims, metrics)).where(F.col("groups").between(2, 20))
+    tests = anova(group_moments(df, dims, metrics), sizes=(2, 20))
     out = benjamini_hochberg(tests, "p").withColumn("tautology", value_tautology(F.col("metric"), F.col("dimension")))
     return out.orderBy(F.desc("significant"), F.desc("eta_sq"), "dimension", "metric").limit(top)
 
@@ -361,7 +366,14 @@ def chi_square(counts: DataFrame) -> DataFrame:
 
 
 def associations(df: DataFrame, dims: list[str], top: int = 4) -> DataFrame:
-    """Dimension pairs (2 to 15 values each) that go together, by (significant, V)."""
+    """Dimension pairs (2 to 15 values each) that go together, by (significant, V).
+
+    A sketch of the number of values of every dimension, in one pass, leaves out wide ones before any pair is counted; the exact rule follows.
+    """
+    sketches = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.coalesce(col(d).cast("string"), F.lit("")))).alias(f"d{i}") for i, d in enumerate(dims)]).first()
+    dims = [d for i, d in enumerate(dims) if sketches[f"d{i}"] <= 20]  # 15, one for NULL, and room for the sketch's error
+    if len(dims) < 2:
+        return chi_square(pair_counts(df.limit(0).withColumns({"__a": F.lit(""), "__b": F.lit("")}), ["__a", "__b"])).withColumn("significant", F.lit(False))
     tests = chi_square(pair_counts(df, dims)).where(F.col("r").between(2, 15) & F.col("c").between(2, 15))
     return (tests.withColumn("significant", F.col("p") < 0.05)
             .orderBy(F.desc("significant"), F.desc("cramers_v"), "a", "b").limit(top))

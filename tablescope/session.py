@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +27,28 @@ def build_session(master: str | None = None, app: str = "tablescope", **conf: st
     return builder.getOrCreate()
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: the one the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where nothing is set and Spark runs
-    on this machine alone, as in tests, a temporary one is made.
+    Only where nothing is set and Spark runs on this machine alone, as in tests, a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tablescope-"))
+    return sc.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def freeze(df: DataFrame) -> DataFrame:
+    """Write `df` once to the shared checkpoint folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -30,8 +30,9 @@ def flatten_nested(df: DataFrame) -> DataFrame:
                        for f in df.schema])
 
 
-def read_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """An array of records, JSON lines, or an object whose first array-of-objects property holds the records."""
+def read_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """JSON lines, split over tasks; with `multi_line`, one task a file, also an array of records or an object whose first array-of-objects
+    property holds the records."""
     df = spark.read.option("multiLine", multi_line).json(path)
     wrapped = [f.name for f in df.schema
                if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]

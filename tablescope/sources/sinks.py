@@ -13,10 +13,10 @@ def spreadsheet_safe(df: DataFrame) -> DataFrame:
     return df.select(*[(cells.spreadsheet_safe(col(c)) if c in text else col(c)).alias(c) for c in df.columns])
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", sep: str = ",") -> None:
     """CSV part files with a header, quotes doubled inside quoted cells, and nulls as empty cells."""
     (spreadsheet_safe(df).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
-     .option("lineSep", "\n").option("nullValue", "").option("emptyValue", "").csv(path))
+     .option("sep", sep).option("lineSep", "\n").option("nullValue", "").option("emptyValue", "").csv(path))
 
 
 def write_members(df: DataFrame, path: str, key: str, mode: str = "errorifexists") -> None:

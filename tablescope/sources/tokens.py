@@ -1,6 +1,7 @@
 """Tables rebuilt from positioned text tokens (x, y, width) of many documents."""
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
@@ -10,15 +11,21 @@ from ..functions.ranking import quantiles
 
 
 def _line_starts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The height of the line each height belongs to: the highest line start within the tolerance, else a new line."""
+    """The height of the line each height belongs to: the last line start above it, if within the tolerance, else a new line.
+
+    The next line after one that starts at a height begins at the first height further below than the tolerance, found by binary search
+    for all heights at once. Which heights are starts follows by pointer doubling from the top.
+    """
     heights = pdf.sort_values("y", ascending=False)
-    tolerance, starts, home = heights["tolerance"].iloc[0], [], []
-    for y in heights["y"]:
-        start = next((s for s in starts if s - y <= tolerance), None)
-        if start is None:
-            starts.append(y)
-        home.append(y if start is None else start)
-    return heights.assign(line=home)[["doc_id", "y", "line"]]
+    y, n = heights["y"].to_numpy(float), len(heights)
+    reach = np.searchsorted(-y, heights["tolerance"].iloc[0] - y, "right")
+    jump, start = np.append(reach, n), np.zeros(n + 1, bool)
+    start[0] = True
+    while (jump[:n] < n).any():
+        start[jump[start]] = True
+        jump = jump[jump]
+    start[jump[start]] = True
+    return heights.assign(line=y[np.maximum.accumulate(np.where(start[:n], np.arange(n), 0))])[["doc_id", "y", "line"]]
 
 
 def tokens_to_grid(tokens: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import datetime as dt
 
 import pytest
+import random
+
 from pyspark.sql import functions as F
 
 from tablescope.operators import concentration as C
@@ -128,6 +130,23 @@ def test_clusters(spark):
     assert segment.fit_clusters(df.limit(10), ["Spend", "Visits"]) is None
 
 
+def test_clusters_do_not_depend_on_partitions(spark):
+    r = random.Random(3)
+    rows = [(i, *(r.gauss(c, 1.0) for c in centre)) for i in range(600) for centre in [r.choice([(0, 0, 0), (6, 1, 0), (0, 7, 3)])]]
+    df = spark.createDataFrame([(i, a, b, c if i % 50 else None) for i, a, b, c in rows], "id int, a double, b double, c double")
+    fits = []
+    for parts in (4, 13):
+        found = segment.fit_clusters(df.repartition(parts, "id"), ["a", "b", "c"])
+        fits.append((found, sorted(map(tuple, segment.cluster_members(df.repartition(parts, "b"), found).select("id", "cluster").collect()))))
+    assert fits[0] == fits[1] and fits[0][0].k == 3
+    sizes = [sum(c == k for _, c in fits[0][1]) for k in range(3)]
+    assert sizes == sorted(sizes, reverse=True)
+    truth = {}
+    for (_, k), (_, a, b, _) in zip(fits[0][1], rows):
+        truth.setdefault((a > 3, b > 4), []).append(k)
+    assert sum(max(map(v.count, set(v))) for v in truth.values()) >= 590
+
+
 FEEDBACK = ["Great customer service and fast delivery", "Customer service was terrible", "Not good, customer service slow", "Love the app", "The app crashes",
             "Delivery was fast", "It is fine", "Customer service team was helpful"]
 
@@ -154,6 +173,82 @@ def test_grounding(spark):
     assert strict == {1050.0: True, 57.0: True, 600.0: True, 88.0: False}
 
 
+def test_grounding_by_definition(spark):
+    """Bands and searches against the rule over all pairs."""
+    import math
+    r = random.Random(5)
+
+    def rounded(x, d):
+        if x == 0:
+            return 0.0
+        f = 10.0 ** (d - math.ceil(math.log10(abs(x))))
+        return math.floor(x * f + .5) / f
+
+    def close(x, e):
+        away = abs(x - e)
+        return away <= max(.5, abs(e) * .03) or rounded(x, 3) == x and away <= abs(e) * .06 and x in (rounded(e, 2), rounded(e, 3))
+
+    def derived(x, a, b):
+        if a == b:
+            return False
+        out = [a - b, a + b]
+        if b:
+            out += [a / b * 100, a / b, (a / b - 1) * 100]
+        if a + b:
+            out.append(a / (a + b) * 100)
+        return any(close(x, e) for e in out)
+
+    ev, said, want = [], [], {}
+    for k in range(40):
+        numbers = [round(r.choice([1, -1]) * 10 ** r.uniform(-2, 6), r.choice([0, 1, 2])) for _ in range(r.choice([0, 1, 2, 5, 9]))]
+        numbers += [0.0] if k % 7 == 0 else []
+        ev += [(f"k{k}", i, v) for i, v in enumerate(numbers)]
+        tokens = sorted({f"{r.choice([1, -1]) * 10 ** r.uniform(-1, 6):.{r.choice([1, 2, 3])}f}" for _ in range(6)} | {f"{abs(r.choice(numbers or [1]) * r.choice([1.02, .96, 2, .5])):.1f}" for _ in range(3)})
+        said.append((f"k{k}", 1, " and ".join(tokens)))
+        for t in tokens:
+            x = float(t)
+            if not (x == math.floor(x) and (abs(x) <= 12 or 1900 <= x <= 2099)):
+                want[f"k{k}", t] = any(close(x, e) for e in numbers) or any(derived(x, a, b) for a in numbers for b in numbers)
+    answers = spark.createDataFrame(said, "key string, answer_id int, text string")
+    evidence = spark.createDataFrame([*ev, ("k1", 99, None), ("k1", 98, float("inf"))], "key string, pos int, value double")
+    got = {(x["key"], x["raw"]): x["grounded"] for x in grounding.verify(answers, evidence).collect()}
+    assert got == want and 30 < sum(want.values()) < len(want) - 30
+
+
+def test_grounding_of_a_key_with_much_evidence(spark):
+    ev = spark.range(100_000).select(F.lit("k").alias("key"), F.col("id").alias("pos"), (F.lit(1e6) + F.col("id") * 1000).alias("value"))
+    said = spark.createDataFrame([("k", 1, "it was 57000000 and -98000000.5 and 7.77e0 or 0.004%")], "key string, answer_id int, text string")
+    got = {x["raw"]: x["grounded"] for x in grounding.verify(said, ev).collect()}
+    assert got["57000000"] and got["-98000000.5"]
+
+
+def test_deep_pages(spark):
+    df = spark.range(0, 5000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 5003).alias("v")).repartition(7)
+    for number, size in ((0, 10), (31, 100), (499, 10), (600, 10)):
+        got = relational.deep_page(df, [F.desc("v")], number, size, rows=600).collect()
+        want = sorted(((i * 7919 % 5003, i) for i in range(5000)), reverse=True)[number * size:(number + 1) * size]
+        assert [(x.v, x.k) for x in got] == want
+    assert relational.deep_page(df.limit(0), [F.desc("v")], 0).count() == 0
+
+
+def test_lines_of_a_tall_block():
+    """Pointer doubling against the step-by-step rule, and a page of 100,000 heights."""
+    import numpy as np
+    import pandas as pd
+    from tablescope.sources.tokens import _line_starts
+    r = np.random.default_rng(2)
+    for _ in range(60):
+        y = np.unique(r.choice(200, r.integers(1, 80)) / 2.0)
+        home, start = {}, None
+        for v in sorted(y, reverse=True):
+            start = v if start is None or start - v > 3.0 else start
+            home[v] = start
+        got = _line_starts(pd.DataFrame({"doc_id": 1, "y": y, "tolerance": 3.0}))
+        assert dict(zip(got["y"], got["line"])) == home
+    tall = _line_starts(pd.DataFrame({"doc_id": 1, "y": np.arange(100_000.0), "tolerance": 0.5}))
+    assert (tall["y"] == tall["line"]).all()
+
+
 def test_token_grid(spark):
     def line(y, cells):
         return [("d", float(x), float(y), s, 5.0 * len(s)) for x, s in cells]

@@ -95,7 +95,7 @@ def test_readers_and_csv_sink(spark, tmp_path):
     assert "'=1+1" in text and '"1,5"' in text
     wrapped = tmp_path / "w.json"
     wrapped.write_text('{"rows": [{"a": 1, "b": {"c": 2}}, {"a": 3}]}')
-    got = [tuple(r) for r in readers.read_json(spark, str(wrapped)).orderBy("a").collect()]
+    got = [tuple(r) for r in readers.read_json(spark, str(wrapped), multi_line=True).orderBy("a").collect()]
     assert got == [(1, '{"c":2}'), (3, None)]
     lines = tmp_path / "l.json"
     lines.write_text('[{"a": 1, "tags": [1, 2]}, {"a": 2, "tags": []}]')

@@ -57,6 +57,37 @@ def test_spearman_flags_curves(spark):
     assert r["rho"] == pytest.approx(1.0) and r["nonlinear"]
 
 
+def test_moments_with_gaps_match_numpy(spark):
+    """Every pair over its own rows, large means, many batches and partitions."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (500, 4)) @ rng.normal(0, 1, (4, 4)) + [0, 1e9, -5, 3]
+    x[rng.random(x.shape) < .2] = np.nan
+    pdf = pd.DataFrame(x, columns=list("abcd"))
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], "a double, b double, c double, d double").repartition(9)
+    for r in K.pair_moments(df, list("abcd")).collect():
+        both = pdf[[r["a"], r["b"]]].dropna()
+        u, v = both[r["a"]] - both[r["a"]].mean(), both[r["b"]] - both[r["b"]].mean()
+        assert r["n"] == len(both) and r["mean_a"] == pytest.approx(both[r["a"]].mean())
+        assert (r["sxx"], r["syy"], r["sxy"]) == (pytest.approx((u * u).sum(), rel=1e-6), pytest.approx((v * v).sum(), rel=1e-6), pytest.approx((u * v).sum(), rel=1e-5, abs=1e-4))
+    assert K.pair_moments(df.limit(0), list("abcd")).count() == 0
+
+
+def test_rank_correlations_with_gaps_and_ties(spark):
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.integers(0, 9, 300), rng.normal(0, 1, 300), rng.integers(0, 50, 300)]).astype(float)
+    x[:, 1] += x[:, 0]
+    x[rng.random(300) < .1, 1] = np.nan
+    pdf = pd.DataFrame(x, columns=list("abc"))
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], "a double, b double, c double").repartition(5)
+    got = {(r["a"], r["b"]): r["rho"] for r in K.rank_correlations(df, list("abc")).collect()}
+    assert len(got) == 3
+    for (a, b), rho in got.items():
+        both = pdf[[a, b]].dropna().rank()
+        assert rho == pytest.approx(np.corrcoef(both[a], both[b])[0, 1], abs=1e-9)
+    whole = K.correlations(df, list("abc"), ranks=True).collect()
+    assert {(r["a"], r["b"]): r["spearman"] for r in whole} == pytest.approx(got) and not any(r["nonlinear"] for r in whole)
+
+
 def test_benjamini_hochberg(spark):
     ps = [0.001, 0.012, 0.014, 0.04, 0.9]
     df = spark.createDataFrame([(p,) for p in ps], "p double")
