@@ -183,7 +183,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, d
     Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased. A window is `width`
     consecutive words of an item, or the whole item where it has fewer (not none). Words of a document inside an
     occurrence of a window are hit. A match has the item, where it begins in item and document, and its length in words.
-    NULL and empty texts have no words; items without id are skipped; equal rows give equal results, in one row each;
+    NULL and empty texts have no words; items without id are skipped, rows of one id are one item; an empty table gives no rows; equal rows give equal results, in one row each;
     other columns are not looked at; those in `carry` come back as a struct `carried`. One pass over the documents for each TESTS bytes of items.
     """
     own, along = B.with_carried(docs, doc_id, text, carry)
@@ -214,7 +214,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, d
                                  F.concat("matches_before", "matches").alias("matches"), *(["carried"] if along else []))
         chunk = after
     spans = F.aggregate("hits", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", spans.alias("n_hit"), "hits", "items", "matches", (F.size("hits") > 0).alias("contaminated"), *(["carried"] if along else []))
+    return found.select("doc_id", "n_words", spans.alias("n_hit"), "hits", F.array_distinct("items").alias("items"), F.array_distinct("matches").alias("matches"), (F.size("hits") > 0).alias("contaminated"), *(["carried"] if along else []))
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -61,3 +61,13 @@ def test_no_rows(spark):
     b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert contamination.find_contamination(d.limit(0), b).count() == 0
     assert contamination.find_contamination(d, b.limit(0)).first().n_hit == 0
+
+
+@pytest.mark.parametrize("chunk", [8 << 20, 1])
+def test_repeated_items_are_one(spark, monkeypatch, chunk):
+    monkeypatch.setattr(contamination, "TESTS", chunk)
+    text = "one two three four five six seven eight nine ten eleven"
+    items = spark.createDataFrame([("x", text), ("x", text), ("y", text), ("x", "another text of item x")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"so {text} it is"), (2, "nothing")], "doc_id long, text string")
+    got = {r.doc_id: (sorted(r.items), sorted(map(tuple, r.matches))) for r in contamination.find_contamination(docs, items, 10).collect()}
+    assert got == {1: (["x", "y"], [("x", 0, 1, 11), ("y", 0, 1, 11)]), 2: ([], [])}
