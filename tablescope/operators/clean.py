@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distinct import count_distinct
 from ..functions import cells, fixed
 from ..functions.expr import col
 from .infer import infer_types
@@ -118,7 +119,7 @@ def report(pairs: DataFrame, types: dict[str, str]) -> DataFrame:
     rows = pairs.agg(F.count("*").alias("rows_before"), F.count_if("is_empty").alias("empty_rows"),
                      F.count_if(~F.col("is_empty") & F.col("is_total")).alias("total_rows"),
                      F.count_if(~F.col("is_empty") & ~F.col("is_total")).alias("kept"))
-    distinct = kept.select(*[f"new_{i}" for i in range(len(cols))]).distinct().agg(F.count("*").alias("rows_after"))
+    distinct = count_distinct(kept, [f"new_{i}" for i in range(len(cols))]).select(F.col("distinct").alias("rows_after"))
     cell_sums = counted.agg(F.struct(F.sum("normalized").alias("normalized"), F.sum("trimmed").alias("trimmed"))).scalar()
     whole = rows.select(
         F.lit("table").alias("scope"), "rows_before", "empty_rows", "total_rows", distinct.scalar().alias("rows_after"),

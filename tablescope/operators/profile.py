@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.distinct import count_distinct
 from ..functions import cells, fixed
 from ..functions.expr import col, finite, ratio
 from ..functions.ranking import quantiles
@@ -65,8 +66,7 @@ def profile(df: DataFrame, table_name: str, types: dict[str, str] | None = None,
             extra.append(F.approx_count_distinct("v", 0.02).alias("distinct"))
         out = long.groupBy("column").agg(F.count("*").alias("rows"), F.count("v").alias("non_null"), *extra)
         if exact:
-            values = long.where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count("*").alias("n"))
-            sizes = values.groupBy("column").agg(F.count("*").alias("distinct"))
+            sizes = count_distinct(long.where(F.col("v").isNotNull()), ["v"], ["column"]).drop("rows")
             out = out.join(sizes, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
             if kind == "numeric":
                 out = out.join(quantiles(long, "v", {"median": 0.5}, ["column"]), "column", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distinct import count_distinct
 from ..functions.expr import ratio
 
 
@@ -44,8 +45,7 @@ def scorecard(profiles: DataFrame, report: DataFrame, outliers: DataFrame) -> Da
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row (rows, duplicates): rows that repeat an earlier one, missing values equal to each other."""
-    distinct = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
-    return distinct.agg(F.sum("__n").alias("rows"), (F.sum("__n") - F.count("*")).alias("duplicates"))
+    return count_distinct(df, df.columns).select("rows", (F.col("rows") - F.col("distinct")).alias("duplicates"))
 
 
 def rating(profiles: DataFrame, duplicates: DataFrame) -> DataFrame:

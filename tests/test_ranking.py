@@ -79,3 +79,17 @@ def test_small_and_empty_tables(spark):
     df = spark.createDataFrame([(3.0, 1), (1.0, 2)], "v double, id int")
     assert [r["rank"] for r in R.ordered(df, ["v", "id"]).orderBy("id").collect()] == [2, 1]
     assert R.ordered(df.where("v > 99"), ["v", "id"]).count() == 0
+
+
+def test_distinct_by_fingerprints(spark):
+    """With real fingerprints, and with weak ones that put different rows under one key."""
+    from tablescope.functions import distinct
+    rows = [(i % 3, ["a", "b", None, "", "bb", "cc"][i % 6], [None, 1.0, 2.0, 0.0, -0.0][i % 5]) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, s string, x double").repartition(4)
+    want = {g: len({r for r in rows if r[0] == g}) for g in range(3)}
+    weak = lambda values: [F.length("s").cast("long"), F.lit(0).cast("long"), F.xxhash64(F.lit(3), *values, *[F.col(c).isNotNull() for c in values])]
+    for marked in (distinct.marks, weak):
+        got = {r["g"]: (r["rows"], r["distinct"]) for r in distinct.count_distinct(df, ["s", "x"], ["g"], marked).collect()}
+        assert got == {g: (sum(r[0] == g for r in rows), n) for g, n in want.items()}
+        assert tuple(distinct.count_distinct(df, ["g", "s", "x"], marked=marked).first()) == (200, sum(want.values()))
+    assert tuple(distinct.count_distinct(df.limit(0), ["s"]).first()) == (0, 0)
