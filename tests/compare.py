@@ -68,7 +68,7 @@ def compare(spark_names, spark_rows, sql_names, sql_rows) -> str | None:
 
 
 def main(prefixes: list[str]) -> int:
-    from tablescope import catalog
+    import __spark_entry__ as catalog
     from tablescope.session import build_session
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
