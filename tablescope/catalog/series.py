@@ -171,7 +171,19 @@ def _(t):
 
 @book.add("i13_seasonal_strength")
 def _(t):
-    return rounded(S.seasonal_strength(monthly(t), 12, ["l_returnflag"]), {"seasonal_strength_classical": 6})
+    return rounded(S.seasonal_strength(monthly(t), 12, ["l_returnflag"]), {"seasonal_strength": 6})
+
+
+@book.add("i13_classical", """with m as (select l_returnflag, date_trunc('month', l_shipdate) as p, sum(l_extendedprice) as v from lineitem group by 1, 2),
+a as (select *, row_number() over (partition by l_returnflag order by p) - 1 as i, count(*) over (partition by l_returnflag) as n from m),
+b as (select *, (avg(v) over (partition by l_returnflag order by i rows between 6 preceding and 5 following) + avg(v) over (partition by l_returnflag order by i rows between 5 preceding and 6 following)) / 2 as trend from a),
+d as (select *, case when i >= 6 and i + 6 < n then v - trend end as x from b),
+f as (select l_returnflag, i % 12 as k, avg(x) as season from d group by 1, 2),
+c as (select l_returnflag, avg(season) as level from f group by 1),
+r as (select d.l_returnflag, n, x, x - (season - level) as rest from d join f on d.l_returnflag = f.l_returnflag and i % 12 = k join c on c.l_returnflag = d.l_returnflag where x is not null)
+select a.l_returnflag, case when max(a.n) >= 24 then round(greatest(0, 1 - var_pop(rest) / var_pop(x)), 6) end as seasonal_strength_classical from (select distinct l_returnflag, n from a) a left join r on a.l_returnflag = r.l_returnflag group by 1""")
+def _(t):
+    return rounded(S.classical_strength(monthly(t), 12, ["l_returnflag"]), {"seasonal_strength_classical": 6})
 
 
 _CONTRIB = """p as (select distinct date_trunc('month', o_orderdate) as p from orders), l as (select p, row_number() over (order by p desc) as r from p),

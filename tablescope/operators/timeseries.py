@@ -5,6 +5,7 @@ units, so one series stays small however many rows it was summed from.
 """
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
@@ -259,8 +260,89 @@ def _classical(period: int):
     return one
 
 
+def _odd(x: float) -> int:
+    n = int(np.ceil(x))
+    return n if n % 2 else n + 1
+
+
+def loess(y: np.ndarray, window: int, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Locally linear fits of a series on a regular grid: at each place the `window` nearest points count by the tricube of their distance.
+
+    Places may lie one step outside. All fits are made at once, on a (places, window) matrix.
+    """
+    n, q = len(y), min(window, len(y))
+    left = np.clip(at - (q - 1) // 2, 0, n - q)
+    near = left[:, None] + np.arange(q)
+    x = near.astype(float)
+    reach = np.maximum(at - left, left + q - 1 - at).astype(float) + (max(window - n, 0) // 2)
+    apart = np.abs(x - at[:, None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cube = (1 - (apart / reach[:, None]) ** 3) ** 3
+    w = np.where(apart <= 0.001 * reach[:, None], 1.0, np.where(apart <= 0.999 * reach[:, None], cube, 0.0))
+    w = w if weights is None else w * weights[near]
+    total = w.sum(1)
+    usable = total > 0
+    w = w / np.where(usable, total, 1)[:, None]
+    centre = (w * x).sum(1)
+    spread = (w * (x - centre[:, None]) ** 2).sum(1)
+    slope = np.where(np.sqrt(spread) > 0.001 * (n - 1), (at - centre) / np.where(spread > 0, spread, 1), 0.0)
+    fit = (w * (1 + slope[:, None] * (x - centre[:, None])) * y[near]).sum(1)
+    return np.where(usable, fit, y[np.clip(at, 0, n - 1)])
+
+
+def _mean_of(x: np.ndarray, length: int) -> np.ndarray:
+    sums = np.concatenate([[0.0], np.cumsum(x)])
+    return (sums[length:] - sums[:-length]) / length
+
+
+def robust_seasons(y: np.ndarray, period: int, seasonal: int = 7, inner: int = 2, outer: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """(season, trend) of a series: seasonal-trend decomposition by LOESS. Each of `outer` rounds gives points far from the fit less weight."""
+    n = len(y)
+    trend_window, low_window = _odd(1.5 * period / (1 - 1.5 / seasonal)), _odd(period + 1)
+    season, trend, weights, every = np.zeros(n), np.zeros(n), None, np.arange(n)
+    for turn in range(outer + 1):
+        for _ in range(inner):
+            rest, cycle = y - trend, np.zeros(n + 2 * period)
+            for phase in range(period):
+                own = rest[phase::period]
+                cycle[phase::period] = loess(own, seasonal, np.arange(-1, len(own) + 1), None if weights is None else weights[phase::period])
+            low = _mean_of(_mean_of(_mean_of(cycle, period), period), 3)
+            season = cycle[period:period + n] - loess(low, low_window, every)
+            trend = loess(y - season, trend_window, every, weights)
+        if turn < outer:
+            away = np.abs(y - season - trend)
+            limit = 6 * np.median(away)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bent = (1 - (away / limit) ** 2) ** 2
+            weights = np.where(away <= 0.001 * limit, 1.0, np.where(away <= 0.999 * limit, bent, 0.0))
+    return season, trend
+
+
+def _robust(period: int):
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("period")
+        y = pdf["value"].to_numpy(dtype=float)
+        row = pdf.iloc[:1].drop(columns=["period", "value"]).reset_index(drop=True)
+        strength = None
+        if len(y) >= 2 * period and not np.isnan(y).any():
+            season, trend = robust_seasons(y, period)
+            rest = y - season - trend
+            both = (rest + season).var()
+            strength = max(0.0, 1.0 - rest.var() / both) if both > 0 else 0.0
+        row["seasonal_strength"] = strength
+        return row
+    return one
+
+
 def seasonal_strength(frame: DataFrame, period: int, series: list[str]) -> DataFrame:
-    """1 - var(residual) / var(residual + season) per series, by a classical decomposition; NULL under two cycles."""
+    """1 - var(residual) / var(residual + season) per series, by robust STL; NULL under two cycles or with unknown values."""
+    slim = frame.select(*series, "period", "value")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in series)
+    return slim.groupBy(*series).applyInPandas(_robust(period), f"{schema}, seasonal_strength double")
+
+
+def classical_strength(frame: DataFrame, period: int, series: list[str]) -> DataFrame:
+    """The same share by a classical moving-average decomposition."""
     slim = frame.select(*series, "period", "value")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in series)
     return slim.groupBy(*series).applyInPandas(_classical(period), f"{schema}, seasonal_strength_classical double")

@@ -273,3 +273,66 @@ def test_distribution_shape(spark):
     got = {r["metric"]: r for r in K.distributions(df, ["n", "e"]).collect()}
     assert got["n"]["shape"] == "symmetric" and got["e"]["shape"] == "right-skewed" and not got["e"]["normal"]
     assert reduce(lambda a, b: a and b, [r["p"] <= 1 for r in got.values()])
+
+
+def _plain_loess(y, window, place, weights):
+    """One fit by its definition: the nearest points, tricube weights, a weighted line by least squares."""
+    n = len(y)
+    near = sorted(range(n), key=lambda i: (abs(i - place), i))[:min(window, n)]
+    reach = max(abs(i - place) for i in near) + max(window - n, 0) // 2
+    w = np.zeros(n)
+    for i in near:
+        d = abs(i - place)
+        w[i] = weights[i] * (1.0 if d <= .001 * reach else (1 - (d / reach) ** 3) ** 3 if d <= .999 * reach else 0.0)
+    if w.sum() <= 0:
+        return y[min(max(place, 0), n - 1)]
+    root = np.sqrt(w)
+    line = np.column_stack([np.ones(n), np.arange(n) - place])
+    if (w > 0).sum() < 2:
+        return (w * y).sum() / w.sum()
+    return np.linalg.lstsq(line * root[:, None], y * root, rcond=None)[0][0]
+
+
+def _plain_stl(y, period, outer):
+    n, weights, trend = len(y), np.ones(len(y)), np.zeros(len(y))
+    odd = lambda x: int(np.ceil(x)) + (int(np.ceil(x)) + 1) % 2
+    for turn in range(outer + 1):
+        for _ in range(2):
+            cycle = np.zeros(n + 2 * period)
+            for k in range(period):
+                own, rw = (y - trend)[k::period], weights[k::period]
+                cycle[k::period] = [_plain_loess(own, 7, j, rw) for j in range(-1, len(own) + 1)]
+            low = cycle
+            for length in (period, period, 3):
+                low = np.array([low[i:i + length].mean() for i in range(len(low) - length + 1)])
+            season = cycle[period:period + n] - [_plain_loess(low, odd(period + 1), j, np.ones(n)) for j in range(n)]
+            trend = np.array([_plain_loess(y - season, odd(1.5 * period / (1 - 1.5 / 7)), j, weights) for j in range(n)])
+        away = np.abs(y - season - trend)
+        limit = 6 * np.median(away)
+        if turn < outer:
+            weights = np.array([1.0 if a <= .001 * limit else (1 - (a / limit) ** 2) ** 2 if a <= .999 * limit else 0.0 for a in away])
+    return season, trend
+
+
+@pytest.mark.parametrize("n, period", [(60, 12), (29, 7), (41, 4)])
+def test_robust_seasons_by_definition(n, period):
+    from tablescope.operators import timeseries
+    rng = np.random.default_rng(n)
+    y = 10 + .2 * np.arange(n) + 4 * np.sin(np.arange(n) * 2 * np.pi / period) + rng.normal(0, .5, n)
+    y[n // 2] += 60
+    season, trend = timeseries.robust_seasons(y, period, outer=3)
+    plain = _plain_stl(y, period, 3)
+    assert season == pytest.approx(plain[0], abs=1e-8) and trend == pytest.approx(plain[1], abs=1e-8)
+
+
+def test_seasonal_strength_ignores_a_spike(spark):
+    from tablescope.operators import timeseries
+    t = np.arange(72)
+    y = 100 + t + 20 * np.sin(t * 2 * np.pi / 12) + np.random.default_rng(4).normal(0, 1, 72)
+    spiked = y.copy()
+    spiked[40] += 500
+    rows = [(s, f"2020-{i:03d}", float(v)) for s, x in (("plain", y), ("spike", spiked), ("noise", np.random.default_rng(5).normal(0, 1, 72)), ("short", y[:20])) for i, v in enumerate(x)]
+    got = {r["s"]: r["seasonal_strength"] for r in timeseries.seasonal_strength(spark.createDataFrame(rows, "s string, period string, value double"), 12, ["s"]).collect()}
+    assert got["plain"] > .97 and got["short"] is None and got["noise"] < .8
+    season, _ = timeseries.robust_seasons(spiked, 12)
+    assert np.abs(season - timeseries.robust_seasons(y, 12)[0]).max() < 2
