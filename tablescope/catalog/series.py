@@ -251,6 +251,12 @@ tr as (select c_nationkey, period, value from a join md using (c_nationkey) wher
 x as (select *, row_number() over (partition by c_nationkey order by period) - 1.0 as t, count(*) over (partition by c_nationkey) as n from tr)"""
 
 
+@book.add("j5_likelihood_forecast")
+def _(t):
+    out = J.forecast(monthly(t), ["l_returnflag"], 6, "likelihood", season=12)
+    return rounded(out.select("l_returnflag", "step", "forecast", "lower", "upper", "method"), {"forecast": 0, "lower": 0, "upper": 0})
+
+
 @book.add("j5_linear_forecast", f"""with {_LINE}, st as (select c_nationkey, max(n) as n, regr_slope(value, t) as b, regr_intercept(value, t) as a, regr_syy(value, t) as syy, regr_sxy(value, t) as sxy, regr_sxx(value, t) as sxx,
   min(value) as low, arg_max(value, t) as last_value from x group by 1),
 h as (select *, sqrt((syy - sxy * sxy / sxx) / (n - 1)) as sd, unnest(generate_series(1, least(12, greatest(3, round_even(n * .15, 0)))::bigint)) as step from st where n >= 6),

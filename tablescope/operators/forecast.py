@@ -56,6 +56,79 @@ def holt_winters(x: np.ndarray, horizon: int, period: int) -> dict:
             "forecast": level[i] + steps * trend[i] + seasonal}
 
 
+def _smoothed(x: np.ndarray, params: np.ndarray, period: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(squared error, first states, last states) of additive smoothing for each row (alpha, beta[, gamma]) of `params`.
+
+    The errors are linear in the first states, so these are not searched: the smoother runs once on the series from zero states and
+    once from each unit state, all rows side by side, and least squares gives the best first states of each row. States are level, trend and the
+    seasons of a cycle but the last, which makes their sum zero.
+    """
+    a, b = params[:, 0, None], params[:, 1, None]
+    c = params[:, 2, None] if period else None
+    m = 2 + (period - 1 if period else 0)
+    rows, unit = len(params), np.eye(m)
+    level, trend = (np.tile(np.concatenate([[0.0], unit[k]]), (rows, 1)) for k in (0, 1))
+    if period:
+        ring = np.zeros((period, rows, 1 + m))
+        for k in range(period - 1):
+            ring[k, :, 3 + k], ring[period - 1, :, 3 + k] = 1.0, -1.0
+    errors = np.empty((rows, len(x), 1 + m))
+    for t, value in enumerate(x):
+        ahead = level + trend
+        season = ring[t % period] if period else 0.0
+        error = -(ahead + season)
+        error[:, 0] += value
+        errors[:, t] = error
+        fresh = ahead + a * error
+        trend = trend + b * (fresh - level - trend)
+        level = fresh
+        if period:
+            seen = -level
+            seen[:, 0] += value
+            ring[t % period] = season + c * (seen - season)
+    # errors = first column + rest @ states
+    rest, target = errors[:, :, 1:], -errors[:, :, 0]
+    gram = rest.transpose(0, 2, 1) @ rest
+    gram += 1e-10 * np.trace(gram, axis1=1, axis2=2)[:, None, None] / m * np.eye(m)
+    states = np.linalg.solve(gram, (rest.transpose(0, 2, 1) @ target[:, :, None]))[:, :, 0]
+    both = np.concatenate([np.ones((rows, 1)), states], axis=1)
+    sse = ((errors @ both[:, :, None])[:, :, 0] ** 2).sum(1)
+    last = [level, trend, *(ring if period else [])]
+    return sse, states, np.stack([(z * both).sum(1) for z in last], axis=1)
+
+
+def likeliest(x: np.ndarray, horizon: int, period: int | None = None) -> dict:
+    """Additive smoothing of greatest Gaussian likelihood (least squared error) over smoothing weights in [0, 1] and first states.
+
+    A search over all neighbours on a lattice that is halved where none is better, from the best point of a coarse one.
+    """
+    size = 3 if period else 2
+    coarse = np.stack([g.ravel() for g in np.meshgrid(*[[0.02, 0.2, 0.4, 0.6, 0.8, 0.98] if period else GRID] * size, indexing="ij")], axis=1)
+    around = np.stack([g.ravel() for g in np.meshgrid(*[[-1.0, 0.0, 1.0]] * size, indexing="ij")], axis=1)
+    sse = _smoothed(x, coarse, period)[0]
+    best, least, step = coarse[np.argmin(sse)], sse.min(), 0.1
+    while step > 1e-5:
+        near = np.clip(best + step * around, 0.0, 1.0)
+        sse = _smoothed(x, near, period)[0]
+        if sse.min() < least * (1 - 1e-12):
+            best, least = near[np.argmin(sse)], sse.min()
+        else:
+            step /= 2
+    sse, _, last = _smoothed(x, best[None], period)
+    steps = np.arange(1, horizon + 1)
+    seasonal = last[0, 2:][(len(x) - 1 + steps) % period] if period else 0.0
+    return {"method": "holt-winters" if period else "holt", "alpha": best[0], "beta": best[1], "gamma": best[2] if period else None, "season": period, "sse": float(sse[0]),
+            "residual_std": float(np.sqrt(sse[0] / (len(x) - 1))), "forecast": last[0, 0] + steps * last[0, 1] + seasonal}
+
+
+def straight(x: np.ndarray, horizon: int) -> dict:
+    """The least-squares line."""
+    n = len(x)
+    slope, start = np.polyfit(np.arange(n), x, 1)
+    rest = x - start - slope * np.arange(n)
+    return {"method": "linear", "alpha": None, "beta": None, "gamma": None, "season": None, "residual_std": float(rest.std(ddof=1)), "forecast": start + slope * np.arange(n, n + horizon)}
+
+
 def season_length(x: np.ndarray, threshold: float = 0.3) -> int | None:
     """First local peak of the autocorrelation of first differences at lag 2 or more, None when nothing repeats."""
     if len(x) < 9:
@@ -74,7 +147,19 @@ def season_length(x: np.ndarray, threshold: float = 0.3) -> int | None:
 
 
 def fit(x: np.ndarray, horizon: int, model: str = "auto", season: int | None = None) -> dict | None:
-    """The seasonal model where a season is given or found and two cycles exist, else the linear one; None under 6 points."""
+    """The seasonal model where a season is given or found and two cycles exist, else the linear one; None under 6 points.
+
+    `likelihood` searches weights and first states for the least error, for a given season only, and takes a straight line where that fails; it gives
+    nothing for a constant series. The other models choose from a grid of weights.
+    """
+    if model == "likelihood":
+        if len(x) < 6 or x.std() == 0:
+            return None
+        try:
+            found = likeliest(x, horizon, season if season and len(x) >= 2 * season else None)
+        except np.linalg.LinAlgError:
+            return straight(x, horizon)
+        return found if np.isfinite(found["forecast"]).all() else straight(x, horizon)
     period = season or (season_length(x) if model == "auto" else None)
     if period and len(x) >= 2 * period:
         return holt_winters(x, horizon, period)

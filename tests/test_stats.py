@@ -336,3 +336,59 @@ def test_seasonal_strength_ignores_a_spike(spark):
     assert got["plain"] > .97 and got["short"] is None and got["noise"] < .8
     season, _ = timeseries.robust_seasons(spiked, 12)
     assert np.abs(season - timeseries.robust_seasons(y, 12)[0]).max() < 2
+
+
+def _errors(x, a, b, c, states, period):
+    """One-step errors of additive smoothing, step by step."""
+    level, trend, seasons, out = states[0], states[1], list(states[2:]), []
+    for t, v in enumerate(x):
+        s = seasons[t % period] if period else 0.0
+        ahead = level + trend
+        out.append(v - ahead - s)
+        fresh = a * (v - s) + (1 - a) * ahead
+        trend = b * (fresh - level) + (1 - b) * trend
+        level = fresh
+        if period:
+            seasons[t % period] = c * (v - level) + (1 - c) * s
+    return np.array(out), level, trend, seasons
+
+
+@pytest.mark.parametrize("period", [None, 4])
+def test_likeliest_smoothing(period):
+    """Least error against brute force over weights, with first states by least squares; and never above the grid of weights."""
+    from tablescope.operators import forecast
+    rng = np.random.default_rng(6)
+    for kind in range(4):
+        n = [12, 24, 40, 31][kind]
+        x = 20 + np.cumsum(rng.normal(.3, 1, n)) + (5 * np.sin(np.arange(n) * np.pi / 2) if kind % 2 else 0)
+        found = forecast.likeliest(x, 3, period)
+        m = 2 + (period - 1 if period else 0)
+
+        def least(a, b, c=0.0):
+            base = lambda s: [*s[:2], *s[2:], *([-sum(s[2:])] if period else [])]
+            zero = _errors(x, a, b, c, base([0.0] * m), period)[0]
+            unit = np.column_stack([_errors(x, a, b, c, base([float(i == j) for i in range(m)]), period)[0] - zero for j in range(m)])
+            states = np.linalg.lstsq(unit, -zero, rcond=None)[0]
+            return ((zero + unit @ states) ** 2).sum(), base(states.tolist())
+
+        w = (found["alpha"], found["beta"], found["gamma"] or 0.0)
+        sse, states = least(*w)
+        assert found["sse"] == pytest.approx(sse, rel=1e-5)
+        fine = np.linspace(0, 1, 9 if period else 21)
+        brute = min(least(a, b, c)[0] for a in fine for b in fine for c in (fine if period else [0.0]))
+        assert found["sse"] <= brute * 1.02
+        _, level, trend, seasons = _errors(x, *w, states, period)
+        want = [level + h * trend + (seasons[(n - 1 + h) % period] if period else 0) for h in (1, 2, 3)]
+        assert found["forecast"] == pytest.approx(want, rel=1e-4, abs=1e-3)
+        if not period:
+            grid = forecast.holt(x, 1)
+            assert found["sse"] <= grid["residual_std"] ** 2 * (n - 2) + 1e-9
+
+
+def test_likelihood_forecasts(spark):
+    from tablescope.operators import forecast
+    rows = [(s, f"{i:03d}", float(v)) for s, x in (("up", [3 * i + (i % 4) for i in range(24)]), ("flat", [5] * 20), ("short", [1, 2, 3])) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "s string, period string, value double")
+    got = forecast.forecast(df, ["s"], 4, "likelihood", season=4).orderBy("step").collect()
+    assert [r["s"] for r in got] == ["up"] * 4
+    assert [r["forecast"] for r in got] == pytest.approx([3 * i + (i % 4) for i in range(24, 28)], abs=.05)
