@@ -52,6 +52,13 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Like `freeze`, as a table of columns: for wide frames of numbers it takes half the room."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def localize(df: DataFrame) -> DataFrame:
     """A result of a few rows (one per column, metric or test) held on the driver, so that it is computed once."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
