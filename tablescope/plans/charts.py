@@ -38,7 +38,7 @@ def build(df: DataFrame, kind: str, x: str, y: str | None = None, agg: str = "su
     if kind == "histogram" or x == y:
         return grouping.histogram(df, x)
     if kind == "scatter":
-        return scatter_points(df, x, y, order)
+        return scatter_points(df, x, y, order or [x, y])
     if kind == "pie":
         return pie(df, x, y)
     if kind == "line":
@@ -66,5 +66,5 @@ def recommend(df: DataFrame, metrics: list[str], dims: list[str], time: str | No
     if len(metrics) > 1:
         out["heatmap"] = stats.relationships(df, metrics)
     if strongest:
-        out["scatter"] = scatter_points(df, *strongest, order)
+        out["scatter"] = scatter_points(df, *strongest, order or list(strongest))
     return out
