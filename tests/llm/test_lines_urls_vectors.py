@@ -130,6 +130,22 @@ def test_lines_in_crowded_blocks(spark):
     assert {x.doc_id for x in got} == set(range(1, 150))
 
 
+def test_lines_of_crowded_blocks_meet_all(spark):
+    """A passage shared by 300 lines is the only block of each line and its copy with four other words: no link of them is lost."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("bcdfghklmnprstvz", k=7))
+    head, texts = " ".join(word() for _ in range(8)), []
+    for _ in range(150):
+        rest = [word() for _ in range(32)]
+        copy = [word() if i % 8 == 4 else w for i, w in enumerate(rest)]
+        texts += [f"{head} {' '.join(x)}" for x in (rest, copy)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("mark", F.xxhash64("text"))
+    sim = {x.doc_id: x.sim & (2 ** 64 - 1) for x in lines._read(d).collect()}
+    near = {i for i in range(1, 300, 2) if (sim[i] ^ sim[i - 1]).bit_count() <= lines.NEAR}
+    assert len(near) > 100
+    assert {x.doc_id for x in lines.dedup_lines(d).where("n_removed > 0").collect()} == near
+
+
 def test_lines_recall(spark):
     """Links against edit similarity alone, with no rule of the index: copies with a replaced word in ten, and typing errors in short lines."""
     r = random.Random(4)
