@@ -6,25 +6,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite, label, long_dims, long_metrics, ratio
-from ..functions.ranking import quantiles
-from ..session import freeze, localize
+from ..functions.ranking import column_quantiles
+from ..session import localize
 
 
 def metric_scale(df: DataFrame, metrics: list[str], method: str = "mad") -> DataFrame:
-    """(metric, n, mean, sd, skew, median, mad) of each metric; median and MAD are exact and distributed."""
+    """(metric, n, mean, sd, skew, median, mad) of each metric; median and MAD are exact, and no values are shuffled for them."""
     long = long_metrics(df, metrics).where(F.col("value").isNotNull())
-    counts = freeze(long.groupBy("metric", "value").agg(F.count("*").alias("__n")))  # the one scan: all that follows reads this
-    n, v = F.col("__n"), F.col("value")
-    means = counts.groupBy("metric").agg(F.sum("__n").alias("n"), (F.sum(n * v) / F.sum("__n")).alias("mean"))
-    off = v - F.col("mean")
-    sums = counts.join(F.broadcast(means), "metric").groupBy("metric", "n", "mean").agg(F.sum(n * off * off).alias("s2"), F.sum(n * off * off * off).alias("s3"))
-    base = sums.select("metric", "n", "mean", F.when(F.col("n") > 1, F.sqrt(F.col("s2") / (F.col("n") - 1))).alias("sd"),
-                       (F.col("s3") / F.col("n") / F.nullif(F.pow(F.col("s2") / F.col("n"), 1.5), F.lit(0.0))).alias("skew"))
-    med = localize(quantiles(counts, "value", {"median": 0.5}, ["metric"]))
-    out = base.join(med, "metric")
+    base = long.groupBy("metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.skewness("value").alias("skew"))
+    med = column_quantiles(long, "value", {"median": 0.5}, ["metric"])
+    out = base.join(F.broadcast(med), "metric")  # one row a metric
     if method == "mad":
-        away = counts.join(F.broadcast(med), "metric").select("metric", F.abs(v - F.col("median")).alias("away"), "__n")
-        out = out.join(quantiles(away, "away", {"mad": 0.5}, ["metric"]), "metric")
+        away = long.join(F.broadcast(med), "metric").select("metric", F.abs(F.col("value") - F.col("median")).alias("away"))
+        out = out.join(F.broadcast(column_quantiles(away, "away", {"mad": 0.5}, ["metric"])), "metric")
     else:
         out = out.withColumn("mad", F.lit(None).cast("double"))
     return localize(out)  # one row a metric

@@ -60,6 +60,35 @@ def test_quantiles_match_pandas(skewed, within):
     assert len(out) == (4 if within else 1)
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_column_quantiles_are_exact(skewed, accuracy, monkeypatch):
+    """With a fine sketch, with a coarse one, and where the ends of the sketch miss the position; no range exchange but in the last case."""
+    pdf, df = skewed
+    probs = {"low": 0.0, "q1": 0.25, "median": 0.5, "p90": 0.9, "high": 1.0}
+    monkeypatch.setattr(R, "SKETCH", accuracy)
+    whole = R.quantiles
+    monkeypatch.setattr(R, "quantiles", lambda *a: pytest.fail("all values put in order"))
+    out = R.column_quantiles(df, "v", probs, ["g"]).toPandas()
+    assert len(out) == 4
+    for _, row in out.iterrows():
+        for n, p in probs.items():
+            assert row[n] == pytest.approx(pdf[pdf["g"] == row["g"]]["v"].quantile(p), abs=1e-9)
+    monkeypatch.setattr(R, "quantiles", whole)
+    monkeypatch.setattr(R, "SKETCH", 20)
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: F.array(*[F.max("__v")] * 10))
+    again = R.column_quantiles(df, "v", probs, ["g"]).toPandas()
+    assert np.allclose(again.sort_values("g")[[*probs]], out.sort_values("g")[[*probs]])
+
+
+def test_profile_puts_no_column_in_order(spark, monkeypatch):
+    from tablescope.operators import anomaly, profile
+    monkeypatch.setattr(R, "ordered", lambda *a, **k: pytest.fail("all values put in order"))
+    df = spark.createDataFrame([(float(i % 7), i, None) for i in range(50)], "a double, b long, c double")
+    got = {r["column"]: (r["median"], r["distinct"]) for r in profile.profile(df, "t").collect()}
+    assert got == {"a": (3.0, 7), "b": (24.5, 50), "c": (None, 0)}
+    assert {r["metric"]: (r["median"], r["mad"]) for r in anomaly.metric_scale(df, ["a", "b"]).collect()} == {"a": (3.0, 2.0), "b": (24.5, 12.5)}
+
+
 def test_average_ranks(skewed):
     pdf, df = skewed
     got = R.average_ranks(df, "v").toPandas().set_index("v")["avg_rank"]
