@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.distinct import count_distinct
 from ..functions import cells, fixed
 from ..functions.expr import col, finite, ratio
-from ..functions.ranking import quantiles
+from ..functions.ranking import column_quantiles
 from .headers import is_price_like, is_quantity, is_rate_like, is_revenue, metric_kind, readable
 
 _STATS = ["min", "max", "mean", "sd", "sum", "median"]
@@ -33,6 +33,13 @@ def _long(df: DataFrame, names: list[str], to) -> DataFrame:
     return df.select(*[to(col(c)).alias(c) for c in names]).unpivot([], names, "column", "v")
 
 
+def _count_values(df: DataFrame, names: list[str], to) -> DataFrame:
+    """(column, distinct) of columns of eight bytes: the value itself is shuffled with the number of its column."""
+    values = df.select(F.posexplode(F.array(*[to(col(c)) for c in names])).alias("c", "v")).where(F.col("v").isNotNull())
+    name = F.array(*[F.lit(c) for c in names])
+    return values.distinct().groupBy("c").agg(F.count("*").alias("distinct")).select(name[F.col("c")].alias("column"), "distinct")
+
+
 _EMPTY = {"min": "double", "max": "double", "mean": "double", "sd": "double", "sum": "double", "median": "double",
           "all_integer": "boolean", "date_min": "timestamp_ntz", "date_max": "timestamp_ntz"}
 
@@ -66,10 +73,13 @@ def profile(df: DataFrame, table_name: str, types: dict[str, str] | None = None,
             extra.append(F.approx_count_distinct("v", 0.02).alias("distinct"))
         out = long.groupBy("column").agg(F.count("*").alias("rows"), F.count("v").alias("non_null"), *extra)
         if exact:
-            sizes = count_distinct(long.where(F.col("v").isNotNull()), ["v"], ["column"]).drop("rows")
+            if kind == "text":
+                sizes = count_distinct(long.where(F.col("v").isNotNull()), ["v"], ["column"]).drop("rows")
+            else:
+                sizes = _count_values(df, names, to)
             out = out.join(sizes, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
             if kind == "numeric":
-                out = out.join(quantiles(long, "v", {"median": 0.5}, ["column"]), "column", "left")
+                out = out.join(column_quantiles(long, "v", {"median": 0.5}, ["column"]), "column", "left")
         missing = {c: t for c, t in _EMPTY.items() if c not in out.columns}
         out = out.select("*", *[F.lit(None).cast(t).alias(c) for c, t in missing.items()])
         parts.append(out.select("column", F.lit(kind).alias("kind"), "rows", "non_null", "distinct", *_EMPTY))
