@@ -151,6 +151,10 @@ def correlations(df: DataFrame, metrics: list[str], bands: tuple[float, float] =
     return out.orderBy(F.desc(F.abs("r")), "a", "b")
 
 
+#: Distinct values of a view whose ranks are sent to all tasks, and views of more values for which whole rows are shuffled.
+HELD, WIDE = 50_000, 3
+
+
 def rank_correlations(df: DataFrame, metrics: list[str], moments: DataFrame | None = None) -> DataFrame:
     """(a, b, rho): Pearson of average ranks, ties sharing the mean rank, for every pair over the rows where both are known.
 
@@ -172,8 +176,17 @@ def rank_correlations(df: DataFrame, metrics: list[str], moments: DataFrame | No
         pairs.append((r["a"], r["b"], *sides))
     value = [F.col(f"m{x}") if y is None else F.when(F.col(f"m{y}").isNotNull(), F.col(f"m{x}")) for x, y in views]
     long = base.select("id", F.inline(F.array(*[F.struct(F.lit(v).alias("view"), x.alias("value")) for v, x in enumerate(value)]))).where(F.col("value").isNotNull())
-    ranks = average_ranks(long, "value", ["view"])
-    wide = long.join(ranks, ["view", "value"]).groupBy("id").agg(*[F.max(F.when(F.col("view") == v, F.col("avg_rank"))).alias(f"r{v}") for v in range(len(views))])
+    ranks = freeze(average_ranks(long, "value", ["view"]))
+    sizes = {r["view"]: r["count"] for r in ranks.groupBy("view").count().collect()}  # one row a view
+    if sum(n > HELD for n in sizes.values()) <= WIDE:
+        # ranks of few values are sent to all tasks; for each other view the rows, a number a view, are shuffled once
+        wide = base.select(*[x.alias(f"v{v}") for v, x in enumerate(value)])
+        for v in range(len(views)):
+            own = ranks.where(F.col("view") == v).select(F.col("value").alias(f"k{v}"), F.col("avg_rank").alias(f"r{v}"))
+            small = sizes.get(v, 0) <= HELD
+            wide = wide.join(F.broadcast(own) if small else own, F.col(f"v{v}") == F.col(f"k{v}"), "left").drop(f"v{v}", f"k{v}")
+    else:
+        wide = long.join(ranks, ["view", "value"]).groupBy("id").agg(*[F.max(F.when(F.col("view") == v, F.col("avg_rank"))).alias(f"r{v}") for v in range(len(views))])
     names = {f"r{x}": f"r{x}" for _, _, *s in pairs for x in s}
     m = pair_moments(wide, sorted(names, key=lambda c: int(c[1:])))
     rho = m.select("a", "b", (F.col("sxy") / F.nullif(F.sqrt(F.col("sxx") * F.col("syy")), F.lit(0.0))).alias("rho"))

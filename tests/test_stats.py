@@ -72,6 +72,20 @@ def test_moments_with_gaps_match_numpy(spark):
     assert K.pair_moments(df.limit(0), list("abcd")).count() == 0
 
 
+@pytest.mark.parametrize("held, wide", [(50_000, 3), (3, 9), (3, 0)])
+def test_rank_correlations_by_size_of_view(spark, monkeypatch, held, wide):
+    """Ranks sent to all tasks, joined to whole rows, and joined to single values; no row travels by its number unless there are many large views."""
+    monkeypatch.setattr(K, "HELD", held)
+    monkeypatch.setattr(K, "WIDE", wide)
+    pdf = pd.DataFrame({"a": [i % 7 for i in range(60)], "b": [i * i % 11 for i in range(60)], "c": [None if i % 5 == 0 else -i for i in range(60)]}, dtype=float)
+    seen, each = [], K.pair_moments
+    monkeypatch.setattr(K, "pair_moments", lambda df, names: seen.append(df) or each(df, names))
+    got = {(r["a"], r["b"]): r["rho"] for r in K.rank_correlations(spark.createDataFrame(pdf), list("abc")).collect()}
+    want = pdf.corr("spearman")
+    assert {k: pytest.approx(v, abs=1e-12) for k, v in got.items()} == {(x, y): want.loc[x, y] for x, y in ("ab", "ac", "bc")}
+    assert ("max(CASE" in seen[-1]._jdf.queryExecution().toString()) == (wide == 0)
+
+
 def test_rank_correlations_with_gaps_and_ties(spark):
     rng = np.random.default_rng(8)
     x = np.column_stack([rng.integers(0, 9, 300), rng.normal(0, 1, 300), rng.integers(0, 50, 300)]).astype(float)
