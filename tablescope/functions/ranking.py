@@ -69,13 +69,28 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[s
     wanted positions are picked, so no task holds all values of a group.
     """
     within = list(within)
-    many = F.sum("__n") if "__n" in df.columns else F.count("*")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*within, F.col(value).cast("double").alias("__v")).agg(many.alias("__n"))
-    run = ordered(counts, ["__v"], {"__upto": "__n"}, within, rank=None)
+    run = ordered(_value_counts(df, value, within), ["__v"], {"__upto": "__n"}, within, rank=None)
     if within:
         spread = _beside(run, run.groupBy(*within).agg(F.sum("__n").alias("__total")), within)
     else:
         spread = run.withColumn("__total", run.agg(F.sum("__n")).scalar())
+    return (spread.groupBy(*within) if within else spread).agg(*_picked(probs))
+
+
+def group_quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[str]) -> DataFrame:
+    """`quantiles` for many groups whose rows lie together already, such as documents: the values of a group stay in its task, counted."""
+    run = Window.partitionBy(*within).orderBy("__v")
+    counts = _value_counts(df, value, within).withColumn("__upto", F.sum("__n").over(run))
+    return counts.withColumn("__total", F.sum("__n").over(Window.partitionBy(*within))).groupBy(*within).agg(*_picked(probs))
+
+
+def _value_counts(df: DataFrame, value: str, within: list[str]) -> DataFrame:
+    many = F.sum("__n") if "__n" in df.columns else F.count("*")
+    return df.where(F.col(value).isNotNull()).groupBy(*within, F.col(value).cast("double").alias("__v")).agg(many.alias("__n"))
+
+
+def _picked(probs: dict[str, float]) -> list[Column]:
+    """The quantiles from distinct values with their counts `__n`, the running `__upto` and the `__total` of the group."""
     aggs = []
     for n, p in probs.items():
         at = (F.col("__total") - 1) * F.lit(float(p))
@@ -85,7 +100,7 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[s
         high = F.max(F.when((first <= hi) & (hi <= last), F.col("__v")))
         frac = F.max(at - lo)
         aggs.append((low + (high - low) * frac).alias(n))
-    return (spread.groupBy(*within) if within else spread).agg(*aggs)
+    return aggs
 
 
 def column_quantiles(df: DataFrame, value: str, probs: dict[str, float], within: list[str]) -> DataFrame:

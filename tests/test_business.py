@@ -262,6 +262,23 @@ def test_token_grid(spark):
     assert grid == {0: ["Region", "Sales", "Sales 2"], 1: ["North", "1200", "30"], 2: ["South East", "900", ""], 3: ["West", "1", "2 x"]}
 
 
+def test_tokens_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "TOKENS", 20, raising=False)
+    page = [(d, float(x), 100.0 - 12 * y, f"{d}-{x}-{y}", 20.0) for d in [*range(60), None] for y in range(2) for x in (0, 100, 200)]
+    df = spark.createDataFrame(page, "doc_id long, x double, y double, str string, width double")
+    out = tokens.tokens_to_grid(df)
+    assert out.rdd.getNumPartitions() == 18  # 360 tokens with a document
+    assert {tuple(r) for r in out.collect()} == {(d, y, x // 100, s) for d, x, h, s, _ in page if d is not None for y in [int((100 - h) // 12)]}
+
+
+def test_quantiles_of_groups_that_lie_together(spark):
+    from tablescope.functions import ranking
+    rows = [(i % 7, None if i % 11 == 0 else float(i * i % 13)) for i in range(300)] + [(9, None)]
+    df, probs = spark.createDataFrame(rows, "g long, v double"), {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    want, got = (sorted(map(tuple, f(df, "v", probs, ["g"]).collect())) for f in (ranking.quantiles, ranking.group_quantiles))
+    assert got == want and len(got) == 7
+
+
 def test_token_lines_follow_the_first_token(spark):
     # heights 100, 96, 92: the third is too far from the first token, although near the second
     rows = [("d", x, y, s, 10.0) for y, a, b in ((100.0, "A", "B"), (96.0, "c", "d"), (92.0, "E", "F")) for x, s in ((0.0 + (y == 96.0) * 30, a), (100.0 + (y == 96.0) * 30, b))]
