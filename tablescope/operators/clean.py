@@ -102,31 +102,37 @@ def _base_text(raw: Column, semantic_type: str) -> Column:
 def report(pairs: DataFrame, types: dict[str, str]) -> DataFrame:
     """(scope, metric, n): rows removed by cause and cells changed, overall and per column.
 
-    Cell counts include rows later dropped as duplicates, but not empty or total rows. Cells are counted
-    as rows of a long table, so that the generated code stays small for wide tables.
+    Cell counts include rows later dropped as duplicates, but not empty or total rows. All is counted in one pass: each row becomes one line for
+    itself and one for each of its cells, so that the generated code stays small for wide tables.
     """
     cols = list(types)
-    kept = pairs.where(~F.col("is_empty") & ~F.col("is_total"))
-    lines = F.array(*[F.struct(
-        F.lit(c).alias("scope"), cells.is_missing(F.col(f"raw_{i}"), types[c] in cells.STRICT_TYPES).alias("missing"),
-        F.col(f"raw_{i}").alias("raw"), _base_text(F.col(f"raw_{i}"), types[c]).alias("base"),
-        _as_text(F.col(f"new_{i}"), types[c]).alias("new")) for i, c in enumerate(cols)])
-    counted = kept.select(F.inline(lines)).groupBy("scope").agg(
-        F.count_if("missing").alias("missing"),
-        F.count_if(F.coalesce(F.col("new") != F.col("base"), F.lit(False))).alias("normalized"),
-        F.count_if(~F.col("missing") & (F.trim("raw") != F.col("raw"))).alias("trimmed"))
-    per_column = counted.unpivot(["scope"], ["missing", "normalized", "trimmed"], "metric", "n")
-    rows = pairs.agg(F.count("*").alias("rows_before"), F.count_if("is_empty").alias("empty_rows"),
-                     F.count_if(~F.col("is_empty") & F.col("is_total")).alias("total_rows"),
-                     F.count_if(~F.col("is_empty") & ~F.col("is_total")).alias("kept"))
-    distinct = count_distinct(kept, [f"new_{i}" for i in range(len(cols))]).select(F.col("distinct").alias("rows_after"))
-    cell_sums = counted.agg(F.struct(F.sum("normalized").alias("normalized"), F.sum("trimmed").alias("trimmed"))).scalar()
-    whole = rows.select(
-        F.lit("table").alias("scope"), "rows_before", "empty_rows", "total_rows", distinct.scalar().alias("rows_after"),
-        "kept", cell_sums.getField("normalized").alias("cells_normalized"),
-        cell_sums.getField("trimmed").alias("cells_trimmed"))
-    whole = whole.withColumn("duplicates", F.col("kept") - F.col("rows_after")).drop("kept")
-    return whole.unpivot(["scope"], whole.columns[1:], "metric", "n").unionByName(per_column)
+    kept, none = ~F.col("is_empty") & ~F.col("is_total"), F.lit(0).cast("long")
+    names = [f"new_{i}" for i in range(len(cols))]
+    nulls = [F.lit(None).cast(pairs.schema[n].dataType).alias(n) for n in names]
+    own = F.struct(F.lit(-1).alias("column"), none.alias("missing"), none.alias("normalized"), none.alias("trimmed"), *[F.col(n) for n in names])
+    lines = []
+    for i, c in enumerate(cols):
+        raw, missing = F.col(f"raw_{i}"), cells.is_missing(F.col(f"raw_{i}"), types[c] in cells.STRICT_TYPES)
+        changed = F.coalesce(_as_text(F.col(f"new_{i}"), types[c]) != _base_text(raw, types[c]), F.lit(False))
+        lines.append(F.struct(F.lit(i).alias("column"), missing.cast("long").alias("missing"), changed.cast("long").alias("normalized"),
+                              F.coalesce(~missing & (F.trim(raw) != raw), F.lit(False)).cast("long").alias("trimmed"), *nulls))
+    each = F.when(kept, F.array(own, *lines)).otherwise(F.array(own))
+    counted = count_distinct(pairs.select("is_empty", "is_total", F.inline(each)), names, ["is_empty", "is_total", "column"], sums=["missing", "normalized", "trimmed"])
+
+    def line(scope: Column | str, metric: str, n: Column) -> Column:
+        return F.struct((F.lit(scope) if isinstance(scope, str) else scope).alias("scope"), F.lit(metric).alias("metric"), n.cast("long").alias("n"))
+
+    empty, total = F.col("is_empty"), ~F.col("is_empty") & F.col("is_total")
+    whole = {"rows_before": F.col("rows"), "empty_rows": F.when(empty, F.col("rows")).otherwise(none), "total_rows": F.when(total, F.col("rows")).otherwise(none),
+             "rows_after": F.when(kept, F.col("distinct")).otherwise(none), "duplicates": F.when(kept, F.col("rows") - F.col("distinct")).otherwise(none)}
+    per_cell = ["missing", "normalized", "trimmed"]
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("column") + 1)
+    of_rows = F.array(*[line("table", m, n) for m, n in whole.items()])
+    of_cells = F.array(*[line(name, m, F.col(m)) for m in per_cell], *[line("table", f"cells_{m}", F.col(m)) for m in per_cell[1:]])
+    found = counted.select(F.inline(F.when(F.col("column") < 0, of_rows).otherwise(of_cells)))
+    always = F.array(*[line("table", m, none) for m in whole], *[line("table", f"cells_{m}", F.lit(None)) for m in per_cell[1:]])
+    seed = pairs.sparkSession.range(1).select(F.inline(always))  # the metrics of a table without rows
+    return found.unionByName(seed).groupBy("scope", "metric").agg(F.sum("n").alias("n"))
 
 
 def preview(df: DataFrame, types: dict[str, str], day_first: dict[str, bool], row_id: str, rows: int = 8) -> DataFrame:

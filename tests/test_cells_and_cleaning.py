@@ -58,6 +58,23 @@ def test_clean_small_table(spark):
     assert [rep["table", m] for m in ("rows_before", "rows_after", "duplicates", "empty_rows", "total_rows")] == [5, 2, 1, 1, 1]
 
 
+def test_report_reads_the_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(i: int) -> str:
+        seen.add(1)
+        return f" {i % 4}"
+    raw = spark.range(60).select(F.udf(read)("id").alias("a"), F.when(F.col("id") % 3 == 0, "").otherwise("x").alias("b"))
+    types = {"a": "integer", "b": "text"}
+    rep = {(r["scope"], r["metric"]): r["n"] for r in C.report(C.side_by_side(raw, types, {}), types).collect()}
+    assert rep == {("table", "rows_before"): 60, ("table", "empty_rows"): 0, ("table", "total_rows"): 0, ("table", "rows_after"): 8, ("table", "duplicates"): 52,
+                   ("table", "cells_normalized"): 0, ("table", "cells_trimmed"): 60, ("a", "missing"): 0, ("a", "normalized"): 0, ("a", "trimmed"): 60,
+                   ("b", "missing"): 20, ("b", "normalized"): 0, ("b", "trimmed"): 0}
+    assert seen.value == 60
+    none = {(r["scope"], r["metric"]): r["n"] for r in C.report(C.side_by_side(raw.limit(0), types, {}), types).collect()}
+    assert none == {("table", m): 0 for m in ("rows_before", "empty_rows", "total_rows", "rows_after", "duplicates")} | {("table", m): None for m in ("cells_normalized", "cells_trimmed")}
+
+
 def test_day_first_needs_evidence(spark):
     df = spark.createDataFrame([(1, "03/04/2024", "01/02/2024"), (2, "25/04/2024", "02/03/2024"), (3, "04/26/2024", "x")], "i int, a string, b string")
     assert C.day_first_columns(df, ["a", "b"], "i") == {"a": True, "b": False}
