@@ -12,8 +12,7 @@ from ..session import freeze
 
 def tokens(text: Column) -> Column:
     """Lower-case words of letters a-z, digits and apostrophes."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9']+", " ")), " ")
-    return F.filter(words, lambda w: w != "")
+    return F.filter(F.split(F.lower(text), r"[^a-z0-9']+"), lambda w: w != "")
 
 
 def responses(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -62,11 +61,11 @@ def themes(resp: DataFrame, with_quote: bool = True) -> DataFrame:
     # the 8 terms are looked for inside each response, and one quote per term is kept map-side
     wanted = out.agg(F.collect_list(F.struct("term", F.split("term", " ").alias("parts")))).scalar()
     inside_row = F.filter(F.col("wanted"), lambda t: F.forall(t.parts, lambda p: F.array_contains(F.col("words"), p)))
-    hits = resp.withColumn("wanted", wanted).select("row_id", "text", F.explode(inside_row).alias("t")).select("row_id", "text", "t.term")
-    short = F.length("text") <= 160
-    quotes = hits.groupBy("term").agg(
-        F.min_by("text", F.when(short, F.col("row_id"))).alias("short"),
-        F.min_by(F.concat(F.substring("text", 1, 157), F.lit("…")), "row_id").alias("cut"))
+    short = F.when(F.length("text") <= 160, F.col("text"))  # only what can be quoted goes along
+    cut = F.concat(F.substring("text", 1, 157), F.lit("…"))
+    hits = resp.withColumn("wanted", wanted).select("row_id", short.alias("short"), cut.alias("cut"), F.explode(inside_row).alias("t"))
+    quotes = hits.groupBy(F.col("t.term").alias("term")).agg(
+        F.min_by("short", F.when(F.col("short").isNotNull(), F.col("row_id"))).alias("short"), F.min_by("cut", "row_id").alias("cut"))
     return out.join(quotes.select("term", F.coalesce("short", "cut").alias("sample")), "term", "left")
 
 

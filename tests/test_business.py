@@ -279,6 +279,25 @@ def test_quantiles_of_groups_that_lie_together(spark):
     assert got == want and len(got) == 7
 
 
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from tablescope.sources import readers
+    table = pa.table({"i": list(range(4000)), "s": [f"{i * 7919 % 4001:0100d}" for i in range(4000)]})
+    for name, size in (("one", 4000), ("many", 50)):
+        pq.write_table(table, tmp_path / f"{name}.parquet", row_group_size=size, compression="none", use_dictionary=False)
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        one, many = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("one", "many"))
+        assert one.rdd.getNumPartitions() >= 4
+        got = readers.spread_rows(one)
+        assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 2000
+        assert got.count() == 4000 and readers.spread_rows(many) is many
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", was)
+
+
 def test_token_lines_follow_the_first_token(spark):
     # heights 100, 96, 92: the third is too far from the first token, although near the second
     rows = [("d", x, y, s, 10.0) for y, a, b in ((100.0, "A", "B"), (96.0, "c", "d"), (92.0, "E", "F")) for x, s in ((0.0 + (y == 96.0) * 30, a), (100.0 + (y == 96.0) * 30, b))]
