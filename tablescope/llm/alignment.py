@@ -2,7 +2,8 @@
 
 Both tokenizers cut the same bytes. Every token points to the farthest-right token that overlaps it, a last one to itself; doubling all
 pointers of a slice of texts until none moves leads each token to the last one of its component, which names its group. Texts go in slices cut at
-places that no token of either side can span, so a long text is never held as tokens.
+places that no token of either side can span, so a long text is never held as tokens. The words between such places are encoded once and
+remembered by a Python worker, for its later tasks as well; so are pre-tokens.
 
 A block of documents (some 16 MB) keeps its links and counts its own distinct pairs; pairs are then counted over all blocks, and every block
 gets back the counts of its own pairs. So a pair that is in every text crosses the network once a block.
@@ -24,9 +25,10 @@ from tokenizers import Tokenizer
 
 from ..session import freeze
 from .blocks import with_carried
-from .tokencount import Counter, Vocabulary, byte_letters
+from .tokencount import ASCII_PATTERN, WIDEST, Counter, Vocabulary, byte_letters
 
 SEGMENT, SLICE, BLOCK = 1 << 16, 1 << 19, 16 << 20  # characters, characters and bytes
+WORDS = 200_000  # words of the sentencepiece side kept for the next text
 #: A blank behind a sign that is none, with something after it: byte-level pre-tokens end there, and no piece goes on over it.
 CUT = re.compile("(?<=[^\\s▁]) (?=[^\\s▁])")
 FOUND = "block long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, links binary, pairs array<long>, times array<long>"
@@ -37,18 +39,56 @@ SCHEMA = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.in
 class Ids(Counter):
     """The token ids of a pre-token, merged once and remembered."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, vocabulary: Vocabulary, spelled: list[bytes]) -> None:
         super().__init__(vocabulary)
         self.clear()
+        self.ascii = re.compile(ASCII_PATTERN)
+        self.spelled, self.exact = spelled, True  # bytes of each id; did every pre-token so far come back as it was?
 
     def made(self, piece: str) -> tuple[int, ...]:
-        return tuple([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        raw = piece.encode()
+        ids = tuple([t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))])
+        self.exact = self.exact and b"".join(map(self.spelled.__getitem__, ids)) == raw
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a text in which special strings are plain text."""
+        """The ids of a text in which special strings are plain text; none if their bytes are not those of the text."""
         if not text.isascii() and not self.unsure.isdisjoint(text):  # the library's own split
-            return [t.id for piece, _ in self.splitter.pre_tokenize_str(text) for t in self.model.tokenize(piece)]
-        return list(chain.from_iterable(map(self.__getitem__, self.pattern.findall(text))))
+            ids, checked = [t.id for piece, _ in self.splitter.pre_tokenize_str(text) for t in self.model.tokenize(piece)], False
+        else:
+            ids = list(chain.from_iterable(map(self.__getitem__, (self.ascii if text.isascii() else self.pattern).findall(text))))
+            checked = self.exact
+        return ids if checked or b"".join(map(self.spelled.__getitem__, ids)) == text.encode() else []
+
+
+class Pieces(dict):
+    """The token ids of a word between two places where a sentencepiece model can be cut, found once and remembered."""
+
+    def __init__(self, model: sentencepiece.SentencePieceProcessor, spelled: list[bytes], cuts: bool) -> None:
+        super().__init__()
+        self.model, self.spelled, self.cuts = model, spelled, cuts
+        self.odd: set[str] = set()  # words whose tokens spell something else
+
+    def spell(self, ids) -> bytes:
+        return b"".join(map(self.spelled.__getitem__, ids))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; none if their bytes are not those of space + text."""
+        words = [CUT.split(t) if self.cuts else [t] for t in texts]
+        new = list(set(chain.from_iterable(words)).difference(self))
+        for word, ids in zip(new, self.model.encode(new, num_threads=1)):
+            self[word] = tuple(ids)
+            if self.spell(ids) != b" " + word.encode():
+                self.odd.add(word)
+        out = []
+        for text, own in zip(texts, words):
+            ids = list(chain.from_iterable(map(self.__getitem__, own)))
+            out.append(ids if self.odd.isdisjoint(own) or self.spell(ids) == b" " + text.encode() else [])
+        for word in reversed(new):
+            if len(word) > WIDEST or len(self) > WORDS:
+                del self[word]
+                self.odd.discard(word)
+        return out
 
 
 class Tokenizers:
@@ -56,7 +96,7 @@ class Tokenizers:
 
     def __init__(self, vocabulary: Vocabulary, b: bytes) -> None:
         a = vocabulary.definition
-        self.a, whole = Ids(vocabulary), Tokenizer.from_str(a)
+        whole = Tokenizer.from_str(a)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         of = {c: i for i, c in enumerate(byte_letters())}
         added = {t["content"] for t in json.loads(a).get("added_tokens") or []}
@@ -69,6 +109,7 @@ class Tokenizers:
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.width = len(pieces)
+        self.ids_a, self.ids_b = Ids(vocabulary, self.bytes_a), Pieces(self.b, self.bytes_b, self.cuts)
 
     def segments(self, text: str) -> list[str]:
         """Space + text in pieces that begin with a space, at which both tokenizations can be cut."""
@@ -83,11 +124,9 @@ class Tokenizers:
 
     def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of both sides; empty ones where either side's bytes are not those of the segment."""
-        a = [self.a.encode(s) for s in segments]
-        b = self.b.encode([s[1:] for s in segments], num_threads=1)
-        for i, s in enumerate(segments):
-            raw = s.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a[i])) != raw or b"".join(map(self.bytes_b.__getitem__, b[i])) != raw:
+        a, b = [self.ids_a.encode(s) for s in segments], self.ids_b.encode([s[1:] for s in segments])
+        for i in range(len(segments)):
+            if not a[i] or not b[i]:
                 a[i], b[i] = [], []
         return a, b
 
@@ -149,9 +188,20 @@ def align(t: Tokenizers, digits: Digits, a: list[list[int]], b: list[list[int]])
     return np.diff(upto).tolist(), [raw[x:max(x, y - 1)] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], np.split(links, upto[1:-1])
 
 
-def _look(sent, texts: bool, block: int):
+_KEPT: dict[str, tuple[Tokenizers, Digits]] = {}
+
+
+def kit(key: str, sent) -> tuple[Tokenizers, Digits]:
+    """The tools for the files `sent`, named by `key`, kept by the Python worker for its next task with all merges it remembers."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        t = Tokenizers(*sent.value)
+        _KEPT[key] = t, Digits(max(len(t.bytes_a), len(t.bytes_b)))
+    return _KEPT[key]
+
+
+def _look(sent, key: str, texts: bool, block: int):
     def run(batches):
-        kit = None
         task = TaskContext.get().partitionId() << 32
         size, seq, tally = 0, 0, []
 
@@ -162,10 +212,7 @@ def _look(sent, texts: bool, block: int):
             return keys, np.bincount(back, times).astype(np.int64)
 
         for batch in batches:
-            kit = kit or (Tokenizers(*sent.value),)
-            t = kit[0]
-            digits = kit[1] if len(kit) > 1 else Digits(max(len(t.bytes_a), len(t.bytes_b)))
-            kit = (t, digits)
+            t, digits = kit(key, sent)
             kind = np.uint32 if len(t.bytes_a) * t.width < 1 << 32 else np.uint64
             ids, column, at = batch.column("doc_id").to_pylist(), batch.column("text"), 0
             while at < len(ids):
@@ -226,9 +273,10 @@ def align_tokenizers(docs: DataFrame, a: str, b: str, doc_id: str = "doc_id", te
         files = Vocabulary(f.read()), g.read()
     own, _ = with_carried(docs, doc_id, text, None)
     sent = docs.sparkSession.sparkContext.broadcast(files)  # two vocabulary files, whatever the table
-    kit = Tokenizers(*files)
-    width, kind = kit.width, np.uint32 if len(kit.bytes_a) * kit.width < 1 << 32 else np.uint64
-    found = freeze(own.mapInArrow(_look(sent, texts, block), FOUND))
+    key = sha256(files[0].definition.encode() + files[1]).hexdigest()
+    own_kit = Tokenizers(*files)
+    width, kind = own_kit.width, np.uint32 if len(own_kit.bytes_a) * own_kit.width < 1 << 32 else np.uint64
+    found = freeze(own.mapInArrow(_look(sent, key, texts, block), FOUND))
     asked = found.where("pairs is not null").select(F.col("block").alias("of"), F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("of", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     counts = asked.groupBy("pair").agg(F.sum("times").alias("n")).withColumn("b", F.col("pair") % width)
     best = counts.groupBy("b").agg(F.max("n").alias("most"))

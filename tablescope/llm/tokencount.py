@@ -22,6 +22,8 @@ from .blocks import with_carried
 
 # Fixed value: the pre-tokens of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The same for texts of ASCII alone, in classes that need no Unicode tables.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 LONG = 1 << 20  # characters from which pre-tokens are not listed but read one by one
 ROWS = 256  # texts held as Python strings at a time
 REMEMBERED, WIDEST = 400_000, 64  # merged pre-tokens kept for the next text, and the longest of them

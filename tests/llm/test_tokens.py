@@ -1,13 +1,16 @@
 """Operators 11 and 12 against the tokenizer libraries and the definitions."""
 import hashlib
 import random
+import re
 import sys
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow.parquet as pq
 import pytest
+import regex
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -128,6 +131,42 @@ def test_alignment(spark, monkeypatch, block, segment, slice_):
     assert alignment.align_tokenizers(d.limit(0), BYTES, PIECES).count() == 0
 
 
+def test_words_are_encoded_once_and_like_whole_texts(vocabulary, monkeypatch):
+    """Pieces of remembered words against the whole text; the kit of a worker serves its next task."""
+    class Sent:
+        with open(PIECES, "rb") as f:
+            value = vocabulary, f.read()
+
+    monkeypatch.setattr(alignment, "_KEPT", {})
+    t, _ = alignment.kit("files", Sent)
+    assert alignment.kit("files", None)[0] is t and alignment.kit("others", Sent)[0] is not t
+    odd = [" ", "a  b", " a b ", "a\u200b b", "a ▁b", "ﬁ x", "x\u3000y z", "a \u0308b", "<s> a </s> b", "a\tb c\n d", "漢字 かな x", "a▁b c", "x <unk> y", "ａ ｂ", "w " * 90, "q" * 100 + " q"]
+    texts = [x + y for x in odd for y in ("", " w ", *odd)]
+    for _ in range(2):
+        for text, ids in zip(texts, t.ids_b.encode(texts)):
+            whole = t.b.encode(text)
+            assert ids == (whole if t.ids_b.spell(whole) == b" " + text.encode() else [])
+    assert "w" in t.ids_b and "q" * 100 not in t.ids_b
+
+    class Model:
+        calls = []
+
+        def encode(self, words, num_threads):
+            self.calls += words
+            return t.b.encode(words, num_threads=num_threads)
+
+    words = alignment.Pieces(Model(), t.bytes_b, t.cuts)
+    words.encode(["one two one", "two three"])
+    words.encode(["three two"])
+    assert sorted(Model.calls) == ["one", "three", "two"]
+
+
+def test_ascii_texts_are_split_like_others():
+    two = ["".join(x) for x in product(map(chr, range(128)), repeat=2)]
+    plain, whole = re.compile(tokencount.ASCII_PATTERN), regex.compile(tokencount.PATTERN)
+    assert all(plain.findall(x) == whole.findall(x) for t in two for x in (t, f"a{t}b", f" {t} x"))
+
+
 def test_pointers_follow_whole_chains():
     """Components by pointer jumping against offsets that both sides share."""
     r = np.random.default_rng(2)
