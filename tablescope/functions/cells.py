@@ -23,15 +23,16 @@ _DECIMAL_COMMA = r"^(?:(?=[^.]*\.)(?=.*,[^.]*$)([^,]*),|([^.,]*),(?![^.,]{3}$)(?
 def parse_number(c: Column) -> Column:
     """Number in any usual notation; the last of both separators is the decimal one. NULL when there is none.
 
-    Each step uses the one before it once or twice only, so that the expression stays small.
+    Each step uses the one before it once or twice only, so that the expression stays small. Cells without a comma or a bracket, which are most,
+    pass no pattern that needs one.
     """
-    core = F.regexp_replace(c, r"[^0-9.,\-]", "")
+    core = F.regexp_replace(c, r"[^0-9.,\-]+", "")
     marked = F.regexp_replace(core, _DECIMAL_COMMA, "$1$2;")
-    grouped_by_dots = core.rlike(r"^[^,]*\.[^,]*\.[^,]*$")
-    plain = (F.when(grouped_by_dots, F.replace(core, F.lit(".")))
-             .otherwise(F.translate(F.regexp_replace(marked, r"\.(?=.*;)", ""), ";,", ".")))
+    with_comma = F.translate(F.regexp_replace(marked, r"\.(?=.*;)", ""), ";,", ".")
+    grouped_by_dots = F.length(core) - F.length(F.replace(core, F.lit("."))) > 1
+    plain = F.when(core.contains(","), with_comma).when(grouped_by_dots, F.replace(core, F.lit("."))).otherwise(core)
     value = F.regexp_extract(plain, r"-?[0-9]+(\.[0-9]+)?", 0).try_cast("double")
-    sign = F.when(c.rlike(r"^\s*\([^-]*\)\s*$"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    sign = F.when(c.contains("(") & c.rlike(r"^\s*\([^-]*\)\s*$"), F.lit(-1.0)).otherwise(F.lit(1.0))
     return value * sign + F.lit(0.0)
 
 
