@@ -2,11 +2,14 @@
 import math
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tablescope.llm import lines, urls, vectors
+from tablescope.session import store
 
 from .test_minhash import groups
 
@@ -173,6 +176,45 @@ def test_lines_recall(spark):
     assert tiny and tiny <= found and len(found - copies) <= 1
 
 
+def test_rows_of_a_table_meet_all(spark, monkeypatch):
+    """Lines of one SimHash and others in their blocks: all links by definition are found, also where the lines are sent in several slices."""
+    monkeypatch.setattr(lines, "SMALL", 20_000)
+    r = random.Random(8)
+    word = lambda: "".join(r.choices(["th", "er", "on", "an", "re", "in", "tion"], k=r.randrange(1, 4)))
+    texts = []
+    for i in range(60):
+        row = [word() for _ in range(r.randrange(8, 17))] + [word() * 60] * (i % 20 == 7)
+        copy = [w[1:] if r.random() < .3 else w for w in row]
+        texts += [" | ".join(row), " | ".join(x or "o" for x in copy)]
+    norms = sorted({*texts})
+    (sim, keys), links = blocks_by_definition(spark, norms), []
+    for i, a in enumerate(norms):
+        for j, b in enumerate(norms[:i]):
+            n = max(len(a), len(b))
+            if keys[a] & keys[b] and 5 * min(len(a), len(b)) >= 4 * n and (n <= 50 or (sim[a] ^ sim[b]).bit_count() <= 18) and 5 * edits(a, b)[0] <= edits(a, b)[1]:
+                links.append((i, j))
+    of, first = groups(range(len(norms)), links), {}
+    for i, t in enumerate(texts):
+        first.setdefault(of[norms.index(t)], i)
+    want = {i for i, t in enumerate(texts) if first[of[norms.index(t)]] != i}
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most_parts=None)
+    assert len(links) > 40 and max(Counter(sim.values()).values()) > lines.CROWD and {x.doc_id for x in got.where("n_removed > 0").collect()} == want
+
+
+def test_stored_frames_leave_no_shuffle_files(spark):
+    """What was shuffled for a stored frame does not stay on disk until the driver collects its garbage."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    count = lambda: sum("shuffle_" in x for x in disk.getAllFiles().mkString(" ").split(" "))
+    before = count()
+    kept = store(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count().join(spark.range(600).withColumnRenamed("id", "k").groupBy("k").count().withColumnRenamed("count", "n"), "k"))
+    assert kept.count() == 600 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    for _ in range(50):
+        if count() <= before:
+            break
+        time.sleep(.1)
+    assert count() <= before
+
+
 def test_lines_blanks(spark):
     """Runs of blanks are one space; texts that stay keep theirs."""
     docs = [(1, "one  two\tthree\nx = 1"), (2, "ONE two \t three\r\nx\t=  1"), (3, "one\x0btwo\f three\nonetwo three"), (4, "a\t\tb")]
