@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tablescope.llm import lines, urls, vectors
 from tablescope.session import store
 
@@ -176,6 +177,27 @@ def test_lines_recall(spark):
     assert tiny and tiny <= found and len(found - copies) <= 1
 
 
+def test_long_lines_are_compared(spark, tmp_path):
+    """Lines of 8,192 words or runs of characters and more have a SimHash in the queries, and near copies of them go."""
+    r = random.Random(6)
+    words = [f"w{r.randrange(5000)}" for _ in range(9000)]
+    copy = ["new" if i in (100, 4000, 8000) else w for i, w in enumerate(words)]
+    blob = "".join(r.choices("abcdefghij", k=8500))
+    giant = [f"v{r.randrange(50)}" for _ in range(40000)]
+    texts = [" ".join(words), " ".join(copy), " ".join(f"z{r.randrange(5000)}" for _ in range(9000)), blob, f"{blob[:50]}x{blob[51:]}", "a short line"]
+    docs = [(i, t, None, None, len(t)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.n_removed for x in lines.op10_line_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1, 5: 0}
+    assert sorted(x.doc_id for x in corpus_pipeline.line_dedup(spark, d, str(tmp_path)).collect()) == [0, 2, 3, 5]
+    long = [" ".join(giant[:n]) for n in (8192, 32767, 32768, 40000)]
+    of = {x.p: x.x & (2**64 - 1) for x in spark.createDataFrame([(p,) for p in sorted({*giant})], "p string").select("p", F.xxhash64("p").alias("x")).collect()}
+    own = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").withColumn("mark", F.lit(0))
+    for x in lines._read(own, None).collect():
+        hs = [of[p] for p in long[x.doc_id].split(" ")]
+        assert x.sim & (2**64 - 1) == sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hs) > len(hs))
+
+
 def test_rows_of_a_table_meet_all(spark, monkeypatch):
     """Lines of one SimHash and others in their blocks: all links by definition are found, also where the lines are sent in several slices."""
     monkeypatch.setattr(lines, "SMALL", 20_000)
